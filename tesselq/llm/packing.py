@@ -16,39 +16,59 @@ from .common import partitions, text_of, written
 PLACES = "length long, first_rank long, each long, bins long, first_sequence long, first_offset long"
 
 
-class ChunkIds(dict):
-    """Token ids, as little-endian 32-bit bytes, of the pieces of text between blanks; bounded by `most` entries."""
+class ChunkIds:
+    """Token ids, as little-endian 32-bit bytes, of the pieces of text between blanks.
+
+    The tokenizer drops blanks and lets no token cross them, so the ids of a text are those of its chunks in turn. What
+    is new in a text is encoded in one call. Two generations of at most `most` chunks are remembered.
+    """
+
+    def __init__(self, path: str, most: int = 350_000):
+        import os
 
-    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.encode_special_tokens = True
-
-    def of(self, chunks: list[str]) -> bytes:
-        """The tokenizer drops blanks and lets no token cross them, so the ids of a text are those of its chunks."""
-        new = list({c for c in chunks if c not in self})
-        if new:
-            if len(self) + len(new) > self.most:
-                self.clear()
-                new = list(set(chunks))
-            self.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-        return b"".join(map(self.__getitem__, chunks))
-
-
-BLANKS = str.maketrans("\t\n\r", "   ")
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, text: str) -> bytes:
+        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        young = self.young
+        if new := set(chunks).difference(young):
+            if len(young) + len(new) > self.most:
+                self.old, self.young, new = young, {}, set(chunks)
+                young = self.young
+            old = self.old
+            missed = [c for c in new if c not in old]
+            young.update((c, old[c]) for c in new if c in old)
+            if missed:
+                self.learn(missed)
+        return b"".join(map(young.__getitem__, chunks))
+
+    def learn(self, chunks: list[str]) -> None:
+        coded = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
+        ids = np.array(coded.ids, "<u4").tobytes()
+        starts = np.fromiter((a for a, _ in coded.offsets), np.int64, len(coded.ids))
+        begin = np.cumsum([0] + [len(c) + 1 for c in chunks])
+        cuts = (4 * np.searchsorted(starts, begin)).tolist()
+        self.young.update((c, ids[x:y]) for c, x, y in zip(chunks, cuts, cuts[1:], strict=False))
+
+
+#: A worker's tokenizers and what they remember, kept from task to task.
+_KNOWN: dict[str, ChunkIds] = {}
 
 
 def _cut(path: str, capacity: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids, end, width = ChunkIds(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        ids = _KNOWN.get(path) or _KNOWN.setdefault(path, ChunkIds(path))
+        end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
             doc, piece, start, length, crc, raw = [], [], [], [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                coded = ids.of(text.translate(BLANKS).split(" ")) + end
+                coded = ids.of(text) + end
                 for k, at in enumerate(range(0, len(coded), width)):
                     part = coded[at : at + width]
                     doc.append(doc_id)

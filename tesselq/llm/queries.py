@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, packing
+from . import dedup, licenses, mixing, packing, quality, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +24,31 @@ def op1_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), 4096, 1)
 
 
+def op3_quality(spark, sf_dir):
+    out = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "log_weight", "sample_key", "kept")
+
+
+def op4_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "block", "perm_key", "weight", "epochs")
+
+
+def op5_licenses(spark, sf_dir):
+    return licenses.find_notices(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op6_urls(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return dedup.exact_duplicates(table(spark, sf_dir, "documents"), "largest").drop("row")
 
 
+def op9_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
