@@ -6,8 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,3 +90,9 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for i in range(k):
         out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - k + 1 + i])
     return out
+
+
+def rows_of(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple]:
+    """A batch's rows, a few at a time as Python values."""
+    for at in range(0, batch.num_rows, step):
+        yield from zip(*(c.slice(at, step).to_pylist() for c in batch.columns), strict=True)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS_ONLY, text_of
+from .common import WORDS_ONLY, rows_of, text_of
 
 #: Phrases whose exact places are counted, with their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -112,7 +112,7 @@ def _scan(base, notices):
         finder = Finder(base, notices)
         for b in batches:
             out = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc_id, text in rows_of(b):
                 words = text.encode().translate(WORDS_ONLY).split()
                 norm = b" " + b" ".join(words) + b" "
                 exact, near = finder.exact(norm), finder.near(norm)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import rows_of, text_of, written
 
 BUCKETS = 10_000
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
@@ -53,7 +53,7 @@ class Tokens(dict):
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tokens, raw, target = Tokens(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for b in batches:
-        for wanted, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for wanted, text in rows_of(b):
             n = np.bincount(tokens.grams(text), minlength=BUCKETS)
             raw += n
             if wanted:

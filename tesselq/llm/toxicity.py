@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS_ONLY, text_of
+from .common import WORDS_ONLY, rows_of, text_of
 
 #: Buckets of words and of their beginnings; the last 64 are those of a text's size.
 BUCKETS = 1 << 18
@@ -38,7 +38,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's buckets, one for each distinct word and beginning, as 32-bit numbers."""
     for b in batches:
         found = []
-        for text in b.column(1).to_pylist():
+        for _, text in rows_of(b):
             words = distinct_words(text)
             found.append(np.sort(np.array([x for w in words for x in word_buckets(w)] + [size_bucket(words)], "<u4")).tobytes())
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["positive", "features"])
@@ -135,7 +135,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         known = WordScores(packed)
         for batch in batches:
             z = []
-            for text in batch.column(1).to_pylist():
+            for _, text in rows_of(batch):
                 words = distinct_words(text)
                 z.append(math.fsum(map(known.__getitem__, words)) + packed.get(size_bucket(words), 0.0) + bias)
             p = 1 / (1 + np.exp(-np.clip(np.array(z), -60, 60)))
