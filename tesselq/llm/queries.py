@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, fingerprints, jaccard, licenses, mixing, packing, quality, toxicity, urls
+from . import dedup, fingerprints, jaccard, licenses, lm, mixing, packing, quality, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op7_exact_dedup(spark, sf_dir):
     return dedup.exact_duplicates(table(spark, sf_dir, "documents"), "largest").drop("row")
 
 
+def op8_lm_scoring(spark, sf_dir):
+    return lm.score_held_out(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
