@@ -19,15 +19,19 @@ def _trailing(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x & (~x + U(1))) - U(1)).astype(np.int64)
 
 
-def build(values: np.ndarray, universe: int, access: bool = False) -> dict[str, np.ndarray]:
+def build(values: np.ndarray, universe: int, access: bool = False, width: int | None = None) -> dict[str, np.ndarray]:
     """The arrays of nondecreasing 64-bit values below `universe`.
 
     The low bits stand packed. The high bits are in unary: each bucket's values are ones, a zero ends it. access: also
-    note the places of values, to read the i-th.
+    note the places of values, to read the i-th; the width then leaves at most some 64 zeros between two ones. width: of
+    the low bits, if the values are made of a bucket and what stands in it.
     """
     values = np.asarray(values, U)
     n = len(values)
-    width = min(56, max(0, (max(universe, 1) // n).bit_length() - 1)) if n else 0
+    if width is None:
+        width = min(56, max(0, (max(universe, 1) // n).bit_length() - 1)) if n else 0
+        if access and n > 1:
+            width = max(width, int(np.diff(values).max()).bit_length() - 6)
     buckets = (max(universe, 1) - 1 >> width) + 1 if n else 0
     low, high = values & U((1 << width) - 1), (values >> U(width)).astype(np.int64)
     lows = np.zeros(n * width // 64 + 2, U)
@@ -79,7 +83,8 @@ class EliasFano:
             x = np.where(more, x & (x - U(1)), x)
         return np.where(skip > 0, at + _trailing(x) + 1, at)
 
-    def _low(self, i: np.ndarray) -> np.ndarray:
+    def low(self, i: np.ndarray) -> np.ndarray:
+        """The i-th values' low bits."""
         if not self.width:
             return np.zeros(len(i), U)
         at = i * self.width
@@ -106,12 +111,12 @@ class EliasFano:
         hi = end = lo + run
         while (open_ := np.flatnonzero(lo < hi)).size:
             mid = (lo[open_] + hi[open_]) >> 1
-            less = self._low(mid) < low[open_]
+            less = self.low(mid) < low[open_]
             lo[open_] = np.where(less, mid + 1, lo[open_])
             hi = hi.copy() if hi is end else hi
             hi[open_] = np.where(less, hi[open_], mid)
         there = np.flatnonzero(lo < end)
-        there = there[self._low(lo[there]) == low[there]]
+        there = there[self.low(lo[there]) == low[there]]
         out[use[there]] = lo[there]
         return out
 
@@ -124,7 +129,16 @@ class EliasFano:
             at[far] += 64
             x[far] = self._window(at[far])
         high = at + _trailing(x) - i
-        return (high.astype(U) << U(self.width)) | self._low(i)
+        return (high.astype(U) << U(self.width)) | self.low(i)
+
+
+def spread(first: np.ndarray, n: np.ndarray, value: np.ndarray, room: np.ndarray | int, width: int) -> np.ndarray:
+    """Keys for values that stand under owners: an owner with n of them has n buckets, from its `first` on.
+
+    A value below `room` goes to the bucket at its share of the room. Values are as good as random there, so that buckets
+    hold about one each under any owner, and a search looks at few, whatever the owner's size.
+    """
+    return ((first + value * n // np.maximum(room, 1)).astype(U) << U(width)) | value.astype(U)
 
 
 def _files(uri: str):
@@ -165,7 +179,7 @@ def load(uri: str) -> dict[str, np.ndarray]:
                     out.write(chunk)
             os.replace(f"{own}.{os.getpid()}", own)
         path = own
-    raw = np.memmap(path, np.uint8, "r")
+    raw = np.asarray(np.memmap(path, np.uint8, "r"))
     head = int.from_bytes(raw[:8].tobytes(), "little")
     where = json.loads(raw[8 : 8 + head].tobytes())
     return {name: raw[8 + head + at : 8 + head + at + n * np.dtype(kind).itemsize].view(kind) for name, (kind, at, n) in where.items()}

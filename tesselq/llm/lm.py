@@ -8,11 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, mixed, new_folder, partitions, rows_of, text_of
-from .elias_fano import EliasFano, build, load, part_of, prefixed, save
+from .common import LOWER, mixed, new_folder, partitions, rows_of, text_of, written
+from .elias_fano import EliasFano, build, load, part_of, prefixed, save, spread
 
 U = np.uint64
 #: Tokens that are handled at once.
@@ -32,18 +33,30 @@ def code(p: np.ndarray) -> np.ndarray:
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys as the first one and 32-bit steps, or as they are if a step is larger."""
-    steps = np.diff(keys)
-    if len(steps) and steps.max() >= U(1 << 32):
-        return b"8" + keys.astype("<u8").tobytes()
-    return b"4" + keys[:1].astype("<u8").tobytes() + steps.astype("<u4").tobytes()
+    """Ascending keys as the first one and steps of as few bytes as the largest needs."""
+    if not len(keys):
+        return b""
+    steps = np.diff(keys).astype("<u8")
+    size = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([size]) + keys[:1].astype("<u8").tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
 def unpack_keys(raw: bytes) -> np.ndarray:
-    if raw[:1] == b"8":
-        return np.frombuffer(raw, "<u8", offset=1)
-    first = np.frombuffer(raw, "<u8", 1, 1) if len(raw) > 1 else np.zeros(0, U)
-    return np.cumsum(np.concatenate([first, np.frombuffer(raw, "<u4", offset=9).astype(U)]) if len(raw) > 1 else first, dtype=U)
+    if not raw:
+        return np.zeros(0, U)
+    steps = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, raw[0])
+    wide = np.zeros((len(steps) + 1, 8), np.uint8)
+    wide[0] = np.frombuffer(raw, np.uint8, 8, 1)
+    wide[1:, : raw[0]] = steps
+    return np.cumsum(wide.view("<u8").ravel(), dtype=U)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    return b"1" + counts.astype("u1").tobytes() if counts.max(initial=0) < 256 else b"4" + counts.astype("<u4").tobytes()
+
+
+def unpack_counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "u1" if raw[:1] == b"1" else "<u4", offset=1).astype(np.int64)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +72,7 @@ def dealt(keys: np.ndarray, counts: np.ndarray, target: np.ndarray, shards: int)
     order = np.lexsort((keys, target))
     keys, counts = keys[order], counts[order]
     cuts = np.searchsorted(target[order], np.arange(shards + 1)).tolist()
-    out = [(t, pack_keys(keys[a:b]), counts[a:b].astype("<u4").tobytes()) for t, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+    out = [(t, pack_keys(keys[a:b]), pack_counts(counts[a:b])) for t, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
     if not out:
         return None
     t, k, c = zip(*out, strict=True)
@@ -71,7 +84,7 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, n
     own: dict[int, list] = {}
     for b in batches:
         for target, keys, counts in rows_of(b):
-            own.setdefault(target, []).append((unpack_keys(keys), np.frombuffer(counts, "<u4").astype(np.int64)))
+            own.setdefault(target, []).append((unpack_keys(keys), unpack_counts(counts)))
     return {t: summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])) for t, parts in own.items()}
 
 
@@ -90,6 +103,14 @@ class Model:
     def types(self) -> int:
         return self.offsets[-1]
 
+    @property
+    def id_bits(self) -> int:
+        return max(1, self.types.bit_length())
+
+    @property
+    def rank_bits(self) -> int:
+        return max(1, self.widest.bit_length())
+
 
 _OPEN: OrderedDict = OrderedDict()
 
@@ -112,20 +133,55 @@ def word_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
 
 def segments(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each shard with the places of its items."""
+    if not len(shard):
+        return
     order = np.argsort(shard, kind="stable")
     at = shard[order]
-    cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     for a, b in zip(cuts, np.append(cuts[1:], len(at)), strict=True):
         yield int(at[a]), order[a:b]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], words: WordHashes) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """Ids, hashes of all tokens (END before and after each text's words) and where each text starts."""
-    end = np.array([words[END]], U)
+class Words(dict):
+    """Numbers of words in order of appearance, END first, and what `of` gives for their hashes; emptied, between blocks,
+    when there are over `most`."""
+
+    def __init__(self, of: Callable[[np.ndarray], np.ndarray], most: int = 500_000):
+        super().__init__()
+        self.of, self.most = of, most
+        self.restart()
+
+    def restart(self) -> None:
+        self.clear()
+        self.new: list[bytes] = []
+        self.values = np.zeros(0, np.int64)
+        self[END]
+
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = len(self)
+        self.new.append(word)
+        return i
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+    def known(self) -> np.ndarray:
+        """What `of` gives for each number."""
+        if self.new:
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.new), U, len(self.new))
+            found = self.of(hashes)
+            self.values = np.concatenate([self.values, found]) if len(self.values) else found
+            self.new = []
+        return self.values
+
+
+def blocks(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Ids, numbers of all tokens (END before and after each text's words) and where each text starts."""
+    end = np.zeros(1, np.int32)
     ids, parts, starts, held = [], [], [], 0
     for b in batches:
         for doc_id, text in rows_of(b):
-            found = words.of(text.encode().translate(LOWER).split())
+            found = words.numbers(text.encode().translate(LOWER).split())
             ids.append(doc_id)
             starts.append(held)
             parts += [end, found, end]
@@ -133,46 +189,96 @@ def blocks(batches: Iterator[pa.RecordBatch], words: WordHashes) -> Iterator[tup
             if held >= BLOCK:
                 yield ids, np.concatenate(parts), np.array(starts)
                 ids, parts, starts, held = [], [], [], 0
+                if len(words) > words.most:
+                    words.restart()
     if ids:
         yield ids, np.concatenate(parts), np.array(starts)
 
 
-def word_ids(model: Model, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids (-1: unknown) and training counts of words by hash."""
-    distinct, back = np.unique(hashes, return_inverse=True)
-    ids, counts = np.full(len(distinct), -1, np.int64), np.zeros(len(distinct), np.int64)
-    for s, at in segments(word_shard(distinct, model.shards)):
-        first = level(model, "words", s)
-        found = first["hashes"].find(distinct[at])
-        known = found >= 0
-        ids[at[known]] = found[known] + model.offsets[s]
-        counts[at[known]] = first["counts"][found[known]]
-    return ids[back], counts[back]
+IDS = "doc_id long, learn boolean, ids binary"
 
 
-def pair_lookup(model: Model, u: np.ndarray, v: np.ndarray, codes: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
-    """For contexts u (known ids) and words v: the bigram's place (-1: none), its rank among the successors of u, and,
-    if asked for, the word's discounted probability and the weight of u's shorter context."""
-    place, rank = np.full(len(u), -1, np.int64), np.full(len(u), -1, np.int64)
+def id_blocks(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """As blocks, but of IDS rows, with word ids (-1: unknown) for hashes."""
+    kind = id_type(model)
+    ids, parts, starts, held = [], [], [], 0
+    for b in batches:
+        for doc_id, _, raw in rows_of(b):
+            found = np.frombuffer(raw, kind).astype(np.int64) - 1
+            ids.append(doc_id)
+            starts.append(held)
+            parts.append(found)
+            held += len(found)
+            if held >= BLOCK:
+                yield ids, np.concatenate(parts), np.array(starts)
+                ids, parts, starts, held = [], [], [], 0
+    if ids:
+        yield ids, np.concatenate(parts), np.array(starts)
+
+
+def id_type(model: Model) -> str:
+    return "<u4" if model.types < (1 << 32) - 1 else "<u8"
+
+
+def _ids(model: Model):
+    """Texts to IDS rows: ids + 1, 0 for unknown words, END before and after."""
+    kind = id_type(model)
+
+    def run(batches):
+        learn: list[bool] = []
+
+        def noted(batches):
+            for b in batches:
+                learn.extend(b.column(2).to_pylist())
+                yield b.select([0, 1])
+
+        words = Words(lambda hashes: (word_ids(model, hashes) + 1).astype(kind))
+        for ids, numbers, starts in blocks(noted(batches), words):
+            packed = words.known()[numbers]
+            cuts = [*starts.tolist(), len(packed)]
+            own, learn[: len(ids)] = learn[: len(ids)], []
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.bool_()), pa.array([packed[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["doc_id", "learn", "ids"])
+
+    return run
+
+
+def word_ids(model: Model, hashes: np.ndarray) -> np.ndarray:
+    """Ids (-1: unknown) of words by hash."""
+    ids = np.full(len(hashes), -1, np.int64)
+    if model.tokens:
+        for s, at in segments(word_shard(hashes, model.shards)):
+            found = level(model, "words", s)["hashes"].find(hashes[at])
+            ids[at[found >= 0]] = found[found >= 0] + model.offsets[s]
+    return ids
+
+
+def pair_lookup(model: Model, u: np.ndarray, v: np.ndarray, codes: bool) -> tuple[np.ndarray, ...]:
+    """For contexts u (known ids) and words v: the bigram's place (-1: none), its rank among the successors of u, how many
+    these are, and, if asked for, the word's discounted probability and the weight of u's shorter context."""
+    place, rank, room = np.full(len(u), -1, np.int64), np.full(len(u), -1, np.int64), np.zeros(len(u), np.int64)
     direct, weight = (np.zeros(len(u)), np.ones(len(u))) if codes else (None, None)
     for s, at in segments(np.searchsorted(model.offsets, u, side="right") - 1):
         second = level(model, "pairs", s)
-        own = u[at] - model.offsets[s]
+        own, back = np.unique(u[at] - model.offsets[s], return_inverse=True)
+        bounds = second["pointers"].read(np.concatenate([own, own + 1])).astype(np.int64)
+        first, n = bounds[: len(own)][back], np.diff(bounds.reshape(2, -1), axis=0)[0][back]
+        room[at] = n
         if codes:
-            weight[at] = CODEBOOK[second["weight"][own]]
-        ask = np.flatnonzero(v[at] >= 0)
-        found = second["keys"].find(own[ask].astype(U) * U(model.types) + v[at[ask]].astype(U))
+            weight[at] = CODEBOOK[second["weight"][own]][back]
+        ask = np.flatnonzero((v[at] >= 0) & (n > 0))
+        found = second["keys"].find(spread(first[ask], n[ask], v[at[ask]], model.types, model.id_bits))
         have = ask[found >= 0]
         found = found[found >= 0]
         place[at[have]] = found + model.bigram_offsets[s]
-        rank[at[have]] = found - second["pointers"].read(own[have]).astype(np.int64)
+        rank[at[have]] = found - first[have]
         if codes:
             direct[at[have]] = CODEBOOK[second["direct"][found]]
-    return place, rank, direct, weight
+    return place, rank, room, direct, weight
 
 
-def triple_lookup(model: Model, context: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For bigrams `context` (places) and words by their rank after the context's second word: as pair_lookup."""
+def triple_lookup(model: Model, context: np.ndarray, rank: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For bigrams `context` (places) and words by their rank among the successors of the context's second word, of which
+    there are `room`: as pair_lookup's last two."""
     direct, weight = np.zeros(len(context)), np.ones(len(context))
     for s, at in segments(triple_shard(context.astype(U), model.shards)):
         third = level(model, "triples", s)
@@ -180,22 +286,37 @@ def triple_lookup(model: Model, context: np.ndarray, rank: np.ndarray) -> tuple[
         have = np.flatnonzero(own >= 0)
         weight[at[have]] = CODEBOOK[third["weight"][own[have]]]
         ask = have[rank[at[have]] >= 0]
-        found = third["keys"].find(own[ask].astype(U) * U(model.widest) + rank[at[ask]].astype(U))
+        if not len(ask):
+            continue
+        first = third["pointers"].read(own[ask]).astype(np.int64)
+        n = third["pointers"].read(own[ask] + 1).astype(np.int64) - first
+        found = third["keys"].find(spread(first, n, rank[at[ask]], room[at[ask]], model.rank_bits))
         direct[at[ask[found >= 0]]] = CODEBOOK[third["direct"][found[found >= 0]]]
     return direct, weight
 
 
+def successors(model: Model, u: np.ndarray) -> np.ndarray:
+    """How many successors words have."""
+    out = np.zeros(len(u), np.int64)
+    for s, at in segments(np.searchsorted(model.offsets, u, side="right") - 1):
+        pointers, own = level(model, "pairs", s)["pointers"], u[at] - model.offsets[s]
+        out[at] = pointers.read(own + 1).astype(np.int64) - pointers.read(own).astype(np.int64)
+    return out
+
+
 def triple_shard(context: np.ndarray, shards: int) -> np.ndarray:
     return (mixed(context + U(7)) % U(shards)).astype(np.int64)
 
 
 def _words(shards: int):
     def run(batches):
-        for _, hashes, starts in blocks(batches, WordHashes()):
-            inside = np.ones(len(hashes), bool)
-            inside[starts] = False  # END before a text is no token
-            keys, counts = np.unique(hashes[inside], return_counts=True)
-            yield dealt(keys, counts, word_shard(keys, shards), shards)
+        words = Words(lambda hashes: hashes)
+        for _, numbers, starts in blocks(batches, words):
+            counts = np.bincount(numbers, minlength=len(words))
+            counts[0] -= len(starts)  # END before a text is no token
+            at = np.flatnonzero(counts)
+            keys = words.known()[at]
+            yield dealt(keys, counts[at], word_shard(keys, shards), shards)
 
     return run
 
@@ -218,8 +339,7 @@ def _pairs(model: Model, shards: int):
     """Bigrams of the block's texts, as id * types + id, dealt for counting."""
 
     def run(batches):
-        for _, hashes, starts in blocks(batches, WordHashes()):
-            ids, _ = word_ids(model, hashes)
+        for _, ids, starts in id_blocks(model, batches):
             inside = np.ones(len(ids) - 1, bool)
             inside[starts[1:] - 1] = False
             keys = ids[:-1][inside].astype(U) * U(model.types) + ids[1:][inside].astype(U)
@@ -233,9 +353,8 @@ def _triples(model: Model, shards: int):
     """Trigrams both of whose bigrams the trie has, as place * widest + rank, dealt for counting."""
 
     def run(batches):
-        for _, hashes, starts in blocks(batches, WordHashes()):
-            ids, _ = word_ids(model, hashes)
-            place, rank, _, _ = pair_lookup(model, ids[:-1], ids[1:], False)
+        for _, ids, starts in id_blocks(model, batches):
+            place, rank, *_ = pair_lookup(model, ids[:-1], ids[1:], False)
             place[starts[1:] - 1] = -1
             both = np.flatnonzero((place[:-1] >= 0) & (place[1:] >= 0))
             keys, counts = np.unique(place[both].astype(U) * U(model.widest) + rank[both + 1].astype(U), return_counts=True)
@@ -269,7 +388,7 @@ def _save_pairs(model: Model):
             pointers = np.append(0, np.cumsum(each))
             save(
                 f"{model.folder}/pairs-{shard}.bin",
-                prefixed("keys", build(keys - U(low) * U(model.types), (high - low) * model.types))
+                prefixed("keys", build(spread(pointers[own], each[own], (keys % U(model.types)).astype(np.int64), model.types, model.id_bits), len(keys) << model.id_bits, width=model.id_bits))
                 | prefixed("pointers", build(pointers, len(keys) + 1, access=True))
                 | {"direct": code(direct), "weight": code(weight), "counts": counts.astype("<u8" if counts.max(initial=0) >> 32 else "<u4")},
             )
@@ -287,16 +406,21 @@ def _save_triples(model: Model):
             first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
             contexts = context[first].astype(np.int64)
             own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
-            seen = np.ones(len(contexts), np.int64)
+            each = np.diff(np.append(first, len(keys)))
+            seen, second_word = np.ones(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
             for s, at in segments(np.searchsorted(model.bigram_offsets, contexts, side="right") - 1):
-                seen[at] = level(model, "pairs", s)["counts"][contexts[at] - model.bigram_offsets[s]]
+                second, local = level(model, "pairs", s), contexts[at] - model.bigram_offsets[s]
+                seen[at] = second["counts"][local]
+                second_word[at] = second["keys"].low(local)
+            room = successors(model, second_word)
             direct = (counts - DISCOUNT) / seen[own]
             weight = 1 - np.bincount(own, direct, len(contexts))
-            ranks = own.astype(U) * U(model.widest) + keys % U(model.widest)
+            ranks = spread(first[own], each[own], (keys % U(model.widest)).astype(np.int64), room[own], model.rank_bits)
             save(
                 f"{model.folder}/triples-{shard}.bin",
                 prefixed("contexts", build(contexts, model.bigram_offsets[-1]))
-                | prefixed("keys", build(ranks, len(contexts) * model.widest))
+                | prefixed("pointers", build(np.append(first, len(keys)), len(keys) + 1, access=True))
+                | prefixed("keys", build(ranks, len(keys) << model.rank_bits, width=model.rank_bits))
                 | {"direct": code(direct), "weight": code(weight)},
             )
             yield _built(shard, len(keys), int(counts.sum()), 0)
@@ -314,11 +438,12 @@ def _empty(model: Model, name: str, shards: set[int]) -> None:
             n = model.offsets[s + 1] - model.offsets[s]
             save(f"{model.folder}/pairs-{s}.bin", prefixed("keys", build(none, 0)) | prefixed("pointers", build(np.zeros(n + 1, U), 1, access=True)) | {"direct": none.astype(np.uint8), "weight": np.zeros(n, np.uint8), "counts": none})
         else:
-            save(f"{model.folder}/triples-{s}.bin", prefixed("contexts", build(none, 0)) | prefixed("keys", build(none, 0)) | {"direct": none.astype(np.uint8), "weight": none.astype(np.uint8)})
+            save(f"{model.folder}/triples-{s}.bin", prefixed("contexts", build(none, 0)) | prefixed("pointers", build(np.zeros(1, U), 1, access=True)) | prefixed("keys", build(none, 0)) | {"direct": none.astype(np.uint8), "weight": none.astype(np.uint8)})
 
 
-def train(docs: DataFrame, least: int = 2, most_shards: int = 128) -> Model:
-    """The trie of all of docs' texts: every word, and bigrams and trigrams that occur `least` times or more.
+def train(docs: DataFrame, learn: Column | None = None, least: int = 2, most_shards: int = 128) -> tuple[Model, DataFrame]:
+    """The trie of the texts of docs where `learn` holds (all, if none): every word, and bigrams and trigrams that occur
+    `least` times or more; and all of docs as IDS rows, a written table.
 
     Counts are summed in each block of texts, dealt by a hash of the n-gram, and only frequent ones dealt again, to the
     shards of the trie; no n-gram or word is one task's. Shards are written as files in the shared folder. Word ids are
@@ -328,7 +453,8 @@ def train(docs: DataFrame, least: int = 2, most_shards: int = 128) -> Model:
     parts = partitions(spark)
     shards = min(parts, most_shards)
     folder = new_folder(spark, "trie")
-    rows = text_of(docs, F.lit(0).cast("long").alias("doc_id"))
+    used = F.coalesce(learn, F.lit(False)) if learn is not None else F.lit(True)
+    rows = text_of(docs, F.col("doc_id").cast("long").alias("doc_id"), used.alias("learn")).select("doc_id", "text", "learn")
 
     def built(df: DataFrame, run, name: str, model: Model) -> list[tuple[int, int, int]]:
         out = [(0, 0, 0)] * shards
@@ -341,16 +467,18 @@ def train(docs: DataFrame, least: int = 2, most_shards: int = 128) -> Model:
         return (0, *np.cumsum([n for n, _, _ in sizes]).tolist())
 
     model = Model(folder, shards, (0,), 0)
-    sizes = built(rows.mapInArrow(_words(shards), DEALT), _save_words(folder), "words", model)
+    learnt = rows.where("learn").select("doc_id", "text")
+    sizes = built(learnt.mapInArrow(_words(shards), DEALT), _save_words(folder), "words", model)
     model = Model(folder, shards, offsets(sizes), sum(t for _, t, _ in sizes))
+    ids = written(rows.mapInArrow(_ids(model), IDS), "ids")
     if not model.tokens:
-        return model
+        return model, ids
     bounds, types = np.array(model.offsets), model.types
 
     def by_first(keys: np.ndarray) -> np.ndarray:
         return np.searchsorted(bounds, (keys // U(types)).astype(np.int64), side="right") - 1
 
-    counted = rows.mapInArrow(_pairs(model, parts), DEALT).repartitionById(parts, F.col("target"))
+    counted = ids.where("learn").mapInArrow(_pairs(model, parts), DEALT).repartitionById(parts, F.col("target"))
     sizes = built(counted.mapInArrow(_frequent(least, by_first, shards), DEALT), _save_pairs(model), "pairs", model)
     model = Model(folder, shards, model.offsets, model.tokens, offsets(sizes), max(1, *(w for _, _, w in sizes)))
     widest = model.widest
@@ -358,9 +486,9 @@ def train(docs: DataFrame, least: int = 2, most_shards: int = 128) -> Model:
     def by_context(keys: np.ndarray) -> np.ndarray:
         return triple_shard(keys // U(widest), shards)
 
-    counted = rows.mapInArrow(_triples(model, parts), DEALT).repartitionById(parts, F.col("target"))
+    counted = ids.where("learn").mapInArrow(_triples(model, parts), DEALT).repartitionById(parts, F.col("target"))
     built(counted.mapInArrow(_frequent(least, by_context, shards), DEALT), _save_triples(model), "triples", model)
-    return model
+    return model, ids
 
 
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
@@ -368,34 +496,44 @@ SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score dou
 
 def _score(model: Model):
     def run(batches):
-        for ids, hashes, starts in blocks(batches, WordHashes()):
-            word, count = word_ids(model, hashes) if model.tokens else (np.full(len(hashes), -1), np.zeros(len(hashes), np.int64))
+        for ids, word, starts in id_blocks(model, batches):
+            distinct, back = np.unique(word, return_inverse=True)
+            seen = np.zeros(len(distinct), np.int64)
+            known = np.flatnonzero(distinct >= 0)
+            for s, at in segments(np.searchsorted(model.offsets, distinct[known], side="right") - 1):
+                seen[known[at]] = level(model, "words", s)["counts"][distinct[known[at]] - model.offsets[s]]
+            count = seen[back]
             single = (count + 1) / (model.tokens + model.types + 1)
             token = np.ones(len(word), bool)
             token[starts] = False
             p = single.copy()
             if model.tokens:
                 u = np.flatnonzero((word[:-1] >= 0) & token[1:])  # pairs within a text, of a known context
-                place, rank = np.full(len(word), -1), np.full(len(word), -1)  # at the pair's second word
-                place[u + 1], rank[u + 1], direct, weight = pair_lookup(model, word[u], word[u + 1], True)
+                # at a pair's second word: the pair's place, its rank after the first, and the room there
+                place, rank, room = np.full(len(word), -1), np.full(len(word), -1), np.zeros(len(word), np.int64)
+                place[u + 1], rank[u + 1], room[u + 1], direct, weight = pair_lookup(model, word[u], word[u + 1], True)
                 p[u + 1] = direct + weight * single[u + 1]
                 c = np.flatnonzero((place[:-1] >= 0) & token[1:])
-                direct, weight = triple_lookup(model, place[c], rank[c + 1])
+                direct, weight = triple_lookup(model, place[c], rank[c + 1], room[c + 1])
                 p[c + 1] = direct + weight * p[c + 1]
-            known = np.where(token, count > 0, False)
-            sums = (np.add.reduceat(x, starts) for x in (token.astype(np.int64), known.astype(np.int64), np.where(token, np.log10(single), 0.0), np.where(token, np.log10(np.minimum(p, 1.0)), 0.0)))
+            sums = (np.add.reduceat(x, starts) for x in (token.astype(np.int64), (token & (count > 0)).astype(np.int64), np.where(token, np.log10(single), 0.0), np.where(token, np.log10(np.minimum(p, 1.0)), 0.0)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """SCORES' columns for each row of docs(doc_id, text).
+def score(ids: DataFrame, model: Model) -> DataFrame:
+    """SCORES' columns for each of IDS rows.
 
     The model interpolates orders 3, 2 and 1 with absolute discounting; what rare n-grams would have got goes to the
     shorter context, where single words have count + 1 of all tokens and types and one. Unknown words end a context.
     """
-    return text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_score(model), SCORES)
+    return ids.mapInArrow(_score(model), SCORES)
+
+
+def indexed(docs: DataFrame, model: Model) -> DataFrame:
+    """docs(doc_id, text) as IDS rows of a model."""
+    return text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", "text", F.lit(False).alias("learn")).mapInArrow(_ids(model), IDS)
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -410,7 +548,7 @@ def score_held_out(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     end alone. Null doc_id: by the fold of the empty text. Repeated rows: count and are scored each. Empty table: no
     rows; nothing to learn from: single words alone, all unknown. Other columns are not read.
     """
-    model = train(docs.where(~held_out(F.col("doc_id"), folds, fold)))
-    return score(docs, model).select(
+    model, ids = train(docs, ~held_out(F.col("doc_id"), folds, fold))
+    return score(ids, model).select(
         "doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
