@@ -18,11 +18,11 @@ BLOCK = 2_000_000
 SALTS = 16
 DEALT = "target int, block long, docs binary, counts binary, hashes binary, info binary"
 DEALT_ARROW = pa.schema([("target", pa.int32()), ("block", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("info", pa.binary())])
-INFO = np.dtype([("doc_id", "<i8"), ("known", "<u1"), ("n", "<u4"), ("high", "<i8"), ("low", "<i8")])
+INFO = np.dtype([("doc_id", "<i8"), ("mark", "<i8"), ("known", "<u1"), ("n", "<u4"), ("high", "<i8"), ("low", "<i8")])
 SHARED = "target int, block long, docs binary, counts binary, hashes binary, often binary, info binary"
 SHARED_ARROW = pa.schema([("target", pa.int32()), ("block", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("often", pa.binary()), ("info", pa.binary())])
-PROFILE = "doc_id long, row long, n long, prefix int, high long, low long, shared array<long>"
-PROFILE_ARROW = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("prefix", pa.int32()), ("high", pa.int64()), ("low", pa.int64()), ("shared", pa.list_(pa.int64()))])
+PROFILE = "doc_id long, mark long, row long, n long, prefix int, high long, low long, central long, shared array<long>"
+PROFILE_ARROW = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("prefix", pa.int32()), ("high", pa.int64()), ("low", pa.int64()), ("central", pa.int64()), ("shared", pa.list_(pa.int64()))])
 
 
 def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,11 +55,11 @@ def _deal(shards: int, size: int):
         block, words = TaskContext.get().partitionId() << 12, WordHashes()
         sets, info, held = [], [], 0
         for b in batches:
-            for doc_id, text in rows_of(b):
+            for doc_id, mark, text in rows_of(b):
                 found = np.unique(ngram_hashes(words.of(text.encode().translate(LOWER).split()), size))
                 high, low = divmod(xxhash.xxh3_128_intdigest(found.tobytes()), 1 << 64)
                 sets.append(found)
-                info.append((doc_id or 0, doc_id is not None, len(found), high - (1 << 63), low - (1 << 63)))
+                info.append((doc_id or 0, mark, doc_id is not None, len(found), high - (1 << 63), low - (1 << 63)))
                 held += len(found)
                 if held >= BLOCK:
                     yield flush(block, sets, info)
@@ -138,11 +138,13 @@ def _profiles(num: int, den: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(info["doc_id"], pa.int64(), mask=info["known"] == 0),
+                    pa.array(info["mark"], pa.int64()),
                     pa.array((block << 24) + np.arange(len(info)), pa.int64()),
                     pa.array(n, pa.int64()),
                     pa.array(np.where(linkable, prefix, 0), pa.int32()),
                     pa.array(info["high"], pa.int64()),
                     pa.array(info["low"], pa.int64()),
+                    pa.array((1000 * np.bincount(docs, often, len(info)) / np.maximum(n, 1)).astype(np.int64), pa.int64()),
                     pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(hashes[order].view("<i8"), pa.int64())),
                 ],
                 schema=PROFILE_ARROW,
@@ -154,33 +156,90 @@ def _profiles(num: int, den: int):
 def profiles(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """A written table with PROFILE's columns: one row for each row of docs."""
     shards = partitions(docs.sparkSession)
-    dealt = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_deal(shards, size), DEALT)
+    dealt = text_of(docs, F.col("doc_id").cast("long").alias("doc_id"), text_mark().alias("mark")).mapInArrow(_deal(shards, size), DEALT)
     counted = dealt.repartitionById(shards, F.col("target")).mapInArrow(_count(shards), SHARED)
     return written(counted.repartitionById(shards, F.col("target")).mapInArrow(_profiles(num, den), PROFILE), "profiles")
 
 
+def text_mark() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def _sizes_fit(a: Column, b: Column, num: int, den: int) -> Column:
     return den * F.least(a, b) >= num * F.greatest(a, b)
 
 
-def _stars(rows: DataFrame, *key: str) -> DataFrame:
-    """(a, b) from the smallest node of each key to its others, in two steps over salted keys."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(SALTS)))
-    near = salted.withColumn("head", F.min("node").over(Window.partitionBy(*key, "salt")))
-    heads = near.where("node = head").withColumn("top", F.min("node").over(Window.partitionBy(*key)))
-    return near.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).union(
-        heads.where("node > top").select(F.col("top").alias("a"), F.col("node").alias("b"))
+def _stars(rows: DataFrame, first: list[str], *key: str) -> DataFrame:
+    """(a, b) from the node of each key that is largest by the columns `first` to its others, in two steps over salted keys."""
+    salted = rows.withColumns({"salt": F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(SALTS)), "rank": F.struct(*first, "node")})
+    near = salted.withColumn("head", F.max("rank").over(Window.partitionBy(*key, "salt")))
+    heads = near.where(F.col("node") == F.col("head.node")).withColumn("top", F.max("rank").over(Window.partitionBy(*key)))
+    return near.where(F.col("node") != F.col("head.node")).select(F.col("head.node").alias("a"), F.col("node").alias("b")).union(
+        heads.where(F.col("node") != F.col("top.node")).select(F.col("top.node").alias("a"), F.col("node").alias("b"))
     )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs(a, b), those that link; sets: written, (node, n, shared)."""
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, compared: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of pairs(a, b) that aren't among those compared before, the ones that link; and all compared now or before.
+
+    sets: written, (node, n, shared).
+    """
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("s_a"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("s_b"))
     both = F.size(F.array_intersect("s_a", "s_b"))
     sized = pairs.join(left, "a").join(right, "b").where(_sizes_fit(F.col("n_a"), F.col("n_b"), num, den))
-    return sized.withColumn("both", both).where(den * F.col("both") >= num * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+    linked = sized.withColumn("both", both).where(den * F.col("both") >= num * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+    return written(linked, "linked"), pairs if compared is None else compared.union(pairs)
+
+
+def _still_apart(members: DataFrame, leaders: DataFrame, places: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members with group and root; groups in several components; and the places at n-grams where components meet."""
+    where = written(members.join(roots, "node").join(leaders.withColumnRenamed("node", "group"), ["same_prefix", "n"]).select("node", "group", "root"), "where")
+    spread = where.groupBy("group").agg(F.min("root").alias("low_root"), F.max("root").alias("high_root"), F.count("*").alias("size"))
+    met = written(places.join(spread.withColumnRenamed("group", "node"), "node"), "met")
+    grams = met.groupBy("gram").agg(F.min("low_root").alias("l"), F.max("high_root").alias("h")).where("l <> h").select("gram")
+    return where, spread.where("low_root <> high_root").select("group"), written(met.join(grams, "gram", "left_semi"), "apart")
+
+
+def _inside(where: DataFrame) -> DataFrame:
+    """(a, b) of one group and two components."""
+    one, two = where.select(F.col("node").alias("a"), "group", F.col("root").alias("root_a")), where.select(F.col("node").alias("b"), "group", F.col("root").alias("root_b"))
+    return one.join(two, "group").where("a < b AND root_a <> root_b").select("a", "b")
+
+
+def _across(apart: DataFrame, where: DataFrame, num: int, den: int, again: bool) -> DataFrame:
+    """(a, b) of two components and of two groups that meet, as far as sizes and places in the prefixes allow a link.
+
+    again: pairs of groups of one member each were compared before.
+    """
+    columns = ("node", "n", "at", "have", "low_root", "high_root", "size")
+    one = apart.select("gram", *(F.col(c).alias(f"{c}_a") for c in columns))
+    two = apart.select("gram", *(F.col(c).alias(f"{c}_b") for c in columns))
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    # a is the smaller; the overlap with any larger set is at least 2 num / (num + den) of it, so that a shorter prefix of
+    # a will do, of which its own n-grams, that nobody else has, are the first
+    smaller = (n_a < n_b) | ((n_a == n_b) & (F.col("node_a") < F.col("node_b")))
+    short = F.col("at_a") + (n_a - F.col("have_a")) < n_a + F.floor(-2 * num * n_a / (num + den)) + 1
+    two_roots = (F.col("low_root_a") != F.col("low_root_b")) | (F.col("low_root_a") != F.col("high_root_a")) | (F.col("low_root_b") != F.col("high_root_b"))
+    # of the n-grams that others have too, at most so many before and after this one are common
+    most = F.least("at_a", "at_b") + F.least(F.col("have_a") - F.col("at_a"), F.col("have_b") - F.col("at_b"))
+    enough = (num + den) * most >= num * (n_a + n_b)
+    new = ((F.col("size_a") > 1) | (F.col("size_b") > 1)) if again else F.lit(True)
+    met = one.join(two, "gram").where(new & smaller & short & two_roots & _sizes_fit(n_a, n_b, num, den) & enough).select("node_a", "node_b").distinct()
+    left = where.select(F.col("node").alias("a"), F.col("group").alias("node_a"), F.col("root").alias("root_a"))
+    right = where.select(F.col("node").alias("b"), F.col("group").alias("node_b"), F.col("root").alias("root_b"))
+    return met.join(left, "node_a").join(right, "node_b").where("root_a <> root_b").select("a", "b")
+
+
+def _merged(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """roots(node, root) after further links(a, b)."""
+    if more.isEmpty():
+        return roots
+    by_root = more.join(roots.toDF("a", "root_a"), "a").join(roots.toDF("b", "root_b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    top = connected_components(roots.select(F.col("root").alias("node")).distinct(), by_root)
+    return written(roots.join(top.toDF("root", "top"), "root").select("node", F.col("top").alias("root")), "roots")
 
 
 def links(found: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -188,58 +247,46 @@ def links(found: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
 
     A document with fewer shared n-grams than the least overlap can't link. Of the others, equal sets are one class.
     Classes with the same prefix and size are a group; groups meet at each n-gram of their prefixes. First each meeting
-    place links its smallest to the others; then, where members of different components still meet, all such pairs
-    whose sizes and places in the prefixes allow the overlap. Both times pairs of groups are expanded to members and
-    their sets compared.
+    place links its most central node, and the one of the largest group, to the others. Central is the mean number of
+    documents that have a node's n-grams: of copies with different edits, the one that the others resemble most has
+    the highest. What is linked by then needs no further look, so that of the pairs of
+    groups that meet only those in different components are left, as far as sizes and places in the prefixes allow the
+    overlap. These are compared by one member of each component in each group, and, where components are still apart,
+    expanded to all their members of different components.
     """
     able = found.where("prefix > 0")
     classes = written(able.groupBy("high", "low", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id")), "classes")
     sets = able.join(classes.select(F.col("node").alias("row")), "row", "left_semi")
     sets = sets.withColumn("same_prefix", F.xxhash64("n", F.slice("shared", 1, F.col("prefix"))))
-    sets = written(sets.select(F.col("row").alias("node"), "n", "prefix", "same_prefix", "shared"), "sets")
-    members = sets.select("node", "n", "same_prefix")
-    leaders = members.groupBy("same_prefix", "n").agg(F.min("node").alias("node"))
-    places = sets.join(leaders.select("node"), "node", "left_semi").select(
-        "node", "n", (F.col("n") - F.size("shared")).alias("own"), F.posexplode(F.slice("shared", 1, F.col("prefix"))).alias("at", "gram")
+    sets = written(sets.select(F.col("row").alias("node"), "n", "prefix", "same_prefix", "central", "shared"), "sets")
+    members = sets.select("node", "n", "same_prefix", "central")
+    leaders = members.groupBy("same_prefix", "n").agg(F.min("node").alias("node"), F.count("*").alias("size"))
+    places = sets.join(leaders.select("node", "size"), "node").select(
+        "node", "n", "central", "size", F.size("shared").alias("have"), F.posexplode(F.slice("shared", 1, F.col("prefix"))).alias("at", "gram")
     )
-    places = written(places.select("gram", "node", "n", (F.col("own") + F.col("at")).alias("at")), "places")
-
-    first = _stars(members, "same_prefix", "n").union(_stars(places, "gram"))
-    linked = written(_verified(first, sets, num, den), "linked")
+    places = written(places, "places")
+    inside = _stars(members, ["central"], "same_prefix", "n")
+    between = [_stars(places.select("gram", "node", *first), first, "gram") for first in (["central"], ["size", "central"])]
+    linked, compared = _verified(inside.union(between[0]).union(between[1]), sets, num, den)
     roots = connected_components(sets.select("node"), linked)
-
-    # groups that still lie in several components
-    where = written(members.join(roots, "node").join(leaders.withColumnRenamed("node", "group"), ["same_prefix", "n"]).select("node", "group", "root"), "where")
-    spread = where.groupBy("group").agg(F.min("root").alias("low_root"), F.max("root").alias("high_root"))
-    split = where.join(spread.where("low_root <> high_root").select("group"), "group", "left_semi").select("node", "group", "root")
-    one, two = split.toDF("a", "group", "root_a"), split.toDF("b", "group", "root_b")
-    inside = one.join(two, "group").where("a < b AND root_a <> root_b").select("a", "b")
-    met = written(places.join(spread.withColumnRenamed("group", "node"), "node"), "met")
-    open_ = met.groupBy("gram").agg(F.min("low_root").alias("l"), F.max("high_root").alias("h")).where("l <> h").select("gram")
-    open_ = written(met.join(open_, "gram", "left_semi"), "open")
-    one = open_.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "at", "low_root", "high_root")))
-    two = open_.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "low_root", "high_root")))
-    apart = (F.col("low_root_a") != F.col("low_root_b")) | (F.col("low_root_a") != F.col("high_root_a")) | (F.col("low_root_b") != F.col("high_root_b"))
-    most = 1 + F.least(F.col("at_a"), F.col("at_b")) + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
-    enough = (num + den) * most >= num * (F.col("n_a") + F.col("n_b"))
-    groups = one.join(two, "gram").where((F.col("node_a") < F.col("node_b")) & apart & _sizes_fit(F.col("n_a"), F.col("n_b"), num, den) & enough)
-    groups = groups.select("node_a", "node_b").distinct()
-    left, right = where.toDF("a", "node_a", "root_a"), where.toDF("b", "node_b", "root_b")
-    across = groups.join(left, "node_a").join(right, "node_b").where("root_a <> root_b").select("a", "b")
-    more = written(_verified(inside.union(across), sets, num, den), "linked")
-    if not more.isEmpty():
-        by_root = more.join(roots.toDF("a", "root_a"), "a").join(roots.toDF("b", "root_b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-        top = connected_components(roots.select(F.col("root").alias("node")).distinct(), by_root)
-        roots = written(roots.join(top.toDF("root", "top"), "root").select("node", F.col("top").alias("root")), "roots")
+    members, leaders, places = members.drop("central"), leaders.drop("size"), places.drop("size", "central")
+    for look in ("one of each component", "all"):
+        where, split, apart = _still_apart(members, leaders, places, roots)
+        if look != "all":
+            where = where.groupBy("group", "root").agg(F.min("node").alias("node")).select("node", "group", "root")
+        pairs = _inside(where.join(split, "group", "left_semi")).union(_across(apart, where, num, den, look == "all"))
+        linked, compared = _verified(pairs, sets, num, den, compared)
+        roots = _merged(roots, linked)
     return classes, roots
 
 
 def similar_documents(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """One row for each row of docs(doc_id, text): doc_id, n_shingles, component_id, row, leads.
+    """One row for each row of docs(doc_id, text): doc_id, n_shingles, component_id, mark, leads.
 
     Words: runs of characters other than ASCII blanks, A-Z lower-cased. A document's set: its distinct runs of `size`
     words (64-bit hashes of them), or its whole sequence if it has fewer. Two link when den * common >= num * union;
-    component_id is the smallest doc_id that links reach. leads: true for one row of each component, which has that id.
+    component_id is the smallest doc_id that links reach. leads: true for one row of each component, which has that id;
+    mark: a hash of the text.
 
     N-grams are hashed and dealt to shards, which count in how many documents each is; the order of prefixes is rarest
     first. Only those that others have too go on, as a common part can have no others. See links for the rest.
@@ -253,12 +300,21 @@ def similar_documents(docs: DataFrame, size: int = 5, num: int = 75, den: int =
     where = written(classes.join(roots, "node"), "classes")
     least = written(where.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min(F.struct(F.col("least_id").isNull(), "least_id", "node")).alias("first")), "least")
     ends = written(where.join(least, "root").select("high", "low", "n", "component_id", (F.col("node") == F.col("first.node")).alias("first")), "ends")
-    able = found.where("prefix > 0").select("doc_id", "row", "n", "high", "low").join(ends, ["high", "low", "n"])
+    able = found.where("prefix > 0").select("doc_id", "mark", "row", "n", "high", "low").join(ends, ["high", "low", "n"])
     # of a class with the component's smallest id, the first row that has it
     own = Window.partitionBy("high", "low", "n", "doc_id")
     same = able.where(F.col("first") & F.col("doc_id").eqNullSafe(F.col("component_id")))
     same = same.withColumn("leads", F.col("row") == F.min("row").over(own))
     rest = able.where(~(F.col("first") & F.col("doc_id").eqNullSafe(F.col("component_id")))).withColumn("leads", F.lit(False))
-    linked = same.unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "row", "leads")
-    alone = found.where("prefix <= 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "row", F.lit(True).alias("leads"))
+    linked = same.unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "mark", "leads")
+    alone = found.where("prefix <= 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "mark", F.lit(True).alias("leads"))
     return linked.unionByName(alone)
+
+
+def without_similar(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """docs, of each component the row that leads it, with all its columns; of rows alike in doc_id and text one."""
+    names = docs.columns
+    stay = similar_documents(docs, size, num, den).where("leads").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_own"))
+    marked = docs.withColumn("_mark", text_mark())
+    both = marked.join(stay, marked.doc_id.cast("long").eqNullSafe(stay._id) & (marked._mark == stay._own), "left_semi")
+    return both.dropDuplicates(["doc_id", "_mark"]).select(*names)
