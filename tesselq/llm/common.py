@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -58,7 +59,7 @@ def text_of(df: DataFrame, *keys: str) -> DataFrame:
 class WordHashes(dict):
     """64-bit hashes of words (bytes); emptied when it holds `most` words, so its memory is bounded."""
 
-    def __init__(self, seed: int = 0, most: int = 400_000):
+    def __init__(self, seed: int = 0, most: int = 250_000):
         super().__init__()
         self.seed, self.most = seed, most
 
@@ -96,3 +97,21 @@ def rows_of(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple]:
     """A batch's rows, a few at a time as Python values."""
     for at in range(0, batch.num_rows, step):
         yield from zip(*(c.slice(at, step).to_pylist() for c in batch.columns), strict=True)
+
+
+#: Caches that outlive a task in its worker; other operators' tasks empty them.
+KEPT: list[dict] = []
+
+
+def fresh(*own: dict) -> None:
+    """Gives back what earlier tasks have left in this worker, but for the caches `own`."""
+    import ctypes
+    import gc
+
+    for cache in KEPT:
+        if not any(cache is x for x in own):
+            cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -11,64 +11,106 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, text_of, written
+from .common import KEPT, fresh, partitions, text_of, written
 
 PLACES = "length long, first_rank long, each long, bins long, first_sequence long, first_offset long"
 
 
-class ChunkIds:
+#: A character that is one token of its own, between chunks that are encoded together.
+MARK = "\x01"
+SEPARATOR = f" {MARK} "
+
+
+class ChunkIds(dict):
     """Token ids, as little-endian 32-bit bytes, of the pieces of text between blanks.
 
     The tokenizer drops blanks and lets no token cross them, so the ids of a text are those of its chunks in turn. What
-    is new in a text is encoded in one call. Two generations of at most `most` chunks are remembered.
+    is new in some texts is encoded in one call. Two generations of at most about `most` chunks are remembered.
     """
 
-    def __init__(self, path: str, most: int = 350_000):
+    def __init__(self, path: str, most: int):
         import os
 
         from tokenizers import Tokenizer
 
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.encode_special_tokens = True
-        self.young: dict[str, bytes] = {}
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.old: dict[str, bytes] = {}
-
-    def of(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        young = self.young
-        if new := set(chunks).difference(young):
-            if len(young) + len(new) > self.most:
-                self.old, self.young, new = young, {}, set(chunks)
-                young = self.young
-            old = self.old
-            missed = [c for c in new if c not in old]
-            young.update((c, old[c]) for c in new if c in old)
-            if missed:
-                self.learn(missed)
-        return b"".join(map(young.__getitem__, chunks))
+        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ",.;:!?"}
+        self.new: set[str] = set()
+
+    def __missing__(self, chunk: str) -> bytes | None:
+        found = self.old.get(chunk)
+        if found is None and chunk[-1:] in self.marks and (word := chunk[:-1]).isalpha():
+            # the tokenizer parts letters from marks first
+            found = self.get(word) or self.old.get(word)
+            found = found and found + self.marks[chunk[-1]]
+        if found is None:
+            self.new.add(chunk)
+        else:
+            self[chunk] = found
+        return found
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        split = []
+        for text in texts:
+            text = text.lower() if text.isascii() else text.encode().lower().decode()  # A-Z; the tokenizer lowers the rest
+            split.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+        get = self.__getitem__
+        ids = [list(map(get, chunks)) for chunks in split]
+        if self.new:
+            self.learn(list(self.new))
+            self.new.clear()
+            ids = [list(map(get, chunks)) if None in found else found for chunks, found in zip(split, ids, strict=True)]
+        return [b"".join(found) for found in ids]
 
     def learn(self, chunks: list[str]) -> None:
-        coded = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
-        ids = np.array(coded.ids, "<u4").tobytes()
-        starts = np.fromiter((a for a, _ in coded.offsets), np.int64, len(coded.ids))
-        begin = np.cumsum([0] + [len(c) + 1 for c in chunks])
-        cuts = (4 * np.searchsorted(starts, begin)).tolist()
-        self.young.update((c, ids[x:y]) for c, x, y in zip(chunks, cuts, cuts[1:], strict=False))
+        """Encodes chunks with a mark after each, and cuts the ids at the mark's."""
+        odd = [c for c in chunks if MARK in c]
+        if odd:
+            self.update((c, np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()) for c in odd)
+            chunks = [c for c in chunks if MARK not in c]
+        ids = np.array(self.tokenizer.encode_batch_fast([SEPARATOR.join([*chunks, ""])], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * np.flatnonzero(ids == self.mark)).tolist()
+        assert len(ends) == len(chunks)
+        raw = ids.tobytes()
+        self.update((c, raw[x + 4 : y]) for c, x, y in zip(chunks, [-4, *ends], ends, strict=False))
 
 
 #: A worker's tokenizers and what they remember, kept from task to task.
-_KNOWN: dict[str, ChunkIds] = {}
+_KNOWN: dict[tuple[str, int], ChunkIds] = {}
+KEPT.append(_KNOWN)
+
+
+def remembered(path: str, most: int) -> ChunkIds:
+    """By this function, which a task refers to by name: what a task's own closure holds ends with it."""
+    fresh(_KNOWN)
+    key = (path, most)
+    if key not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[key] = ChunkIds(path, most)
+    return _KNOWN[key]
+
+
+def _coded(batch: pa.RecordBatch, ids: ChunkIds, step: int = 32) -> Iterator[tuple[int, bytes]]:
+    for at in range(0, batch.num_rows, step):
+        yield from zip(batch.column(0).slice(at, step).to_pylist(), ids.of(batch.column(1).slice(at, step).to_pylist()), strict=True)
 
 
-def _cut(path: str, capacity: int, end_id: int, keep_ids: bool):
+def _cut(path: str, capacity: int, end_id: int, keep_ids: bool, chunks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _KNOWN.get(path) or _KNOWN.setdefault(path, ChunkIds(path))
+        ids = remembered(path, chunks)
         end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
             doc, piece, start, length, crc, raw = [], [], [], [], [], []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                coded = ids.of(text) + end
+            for doc_id, coded in _coded(b, ids):
+                coded += end
                 for k, at in enumerate(range(0, len(coded), width)):
                     part = coded[at : at + width]
                     doc.append(doc_id)
@@ -85,10 +127,10 @@ def _cut(path: str, capacity: int, end_id: int, keep_ids: bool):
     return run
 
 
-def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, keep_ids: bool = False) -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, keep_ids: bool = False, chunks: int = 500_000) -> DataFrame:
     """Each document's ids, ended by end_id, in pieces of at most `capacity`; ids: little-endian 32-bit, if kept."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_cut(tokenizer, capacity, end_id, keep_ids), schema)
+    return text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_cut(tokenizer, capacity, end_id, keep_ids, chunks), schema)
 
 
 def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple], int]:
@@ -166,7 +208,7 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple], int]:
     return places, sequences
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, keep_ids: bool = False, chunks: int = 500_000) -> DataFrame:
     """One row for each piece of docs(doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Only documents over `capacity` are cut. The plan is made from the number of pieces of each length, at most
@@ -174,10 +216,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     among those of its length, counted in chunks, so that a common length is not one task's.
 
     Null text: empty, which is the end id alone. Null doc_id: as any other. Repeated rows are packed each. Empty table:
-    no rows. Other columns are not read. keep_ids adds ids.
+    no rows. Other columns are not read. keep_ids adds ids. chunks: how many pieces of text a worker remembers the ids of,
+    twice over; about 150 MB for 500,000.
     """
     spark = docs.sparkSession
-    pieces = written(cut(docs, tokenizer, capacity, end_id, keep_ids), "pieces")
+    pieces = written(cut(docs, tokenizer, capacity, end_id, keep_ids, chunks), "pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = F.broadcast(spark.createDataFrame(plan(counts, capacity)[0], PLACES)).withColumnRenamed("length", "place_length")
     pieces = pieces.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(64, partitions(spark)))).cast("int"))
