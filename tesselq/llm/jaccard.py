@@ -10,11 +10,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, ngram_hashes, partitions, rows_of, text_of, written
+from .common import LOWER, WordHashes, fresh, ngram_hashes, partitions, rows_of, text_of, written
 from .components import connected_components
 
 #: n-gram hashes that a task gathers before it deals them out.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 SALTS = 16
 DEALT = "target int, block long, docs binary, counts binary, hashes binary, info binary"
 DEALT_ARROW = pa.schema([("target", pa.int32()), ("block", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("info", pa.binary())])
@@ -52,6 +52,7 @@ def _deal(shards: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        fresh()
         block, words = TaskContext.get().partitionId() << 12, WordHashes()
         sets, info, held = [], [], 0
         for b in batches:
@@ -74,6 +75,7 @@ def _count(shards: int):
     """A shard's hashes that two documents or more have, with how many have them, dealt back to their blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         blocks, hashes, owners, passed = [], [], [], []
         for batch in batches:
             for r in batch.to_pylist():
@@ -113,6 +115,7 @@ def _profiles(num: int, den: int):
     """Each document's n-grams that others have too, rarest first, and how many of them are in its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         blocks: dict[int, list] = {}
         infos: dict[int, bytes] = {}
         for batch in batches:
@@ -218,16 +221,12 @@ def _across(apart: DataFrame, where: DataFrame, num: int, den: int, again: bool)
     one = apart.select("gram", *(F.col(c).alias(f"{c}_a") for c in columns))
     two = apart.select("gram", *(F.col(c).alias(f"{c}_b") for c in columns))
     n_a, n_b = F.col("n_a"), F.col("n_b")
-    # a is the smaller; the overlap with any larger set is at least 2 num / (num + den) of it, so that a shorter prefix of
-    # a will do, of which its own n-grams, that nobody else has, are the first
-    smaller = (n_a < n_b) | ((n_a == n_b) & (F.col("node_a") < F.col("node_b")))
-    short = F.col("at_a") + (n_a - F.col("have_a")) < n_a + F.floor(-2 * num * n_a / (num + den)) + 1
+    # at the first n-gram that both have, the common ones are all still to come: in either set there must be as many left
+    least = F.ceil(num * (n_a + n_b) / (num + den))
+    enough = (F.col("have_a") - F.col("at_a") >= least) & (F.col("have_b") - F.col("at_b") >= least)
     two_roots = (F.col("low_root_a") != F.col("low_root_b")) | (F.col("low_root_a") != F.col("high_root_a")) | (F.col("low_root_b") != F.col("high_root_b"))
-    # of the n-grams that others have too, at most so many before and after this one are common
-    most = F.least("at_a", "at_b") + F.least(F.col("have_a") - F.col("at_a"), F.col("have_b") - F.col("at_b"))
-    enough = (num + den) * most >= num * (n_a + n_b)
     new = ((F.col("size_a") > 1) | (F.col("size_b") > 1)) if again else F.lit(True)
-    met = one.join(two, "gram").where(new & smaller & short & two_roots & _sizes_fit(n_a, n_b, num, den) & enough).select("node_a", "node_b").distinct()
+    met = one.join(two, "gram").where(new & (F.col("node_a") < F.col("node_b")) & two_roots & _sizes_fit(n_a, n_b, num, den) & enough).select("node_a", "node_b").distinct()
     left = where.select(F.col("node").alias("a"), F.col("group").alias("node_a"), F.col("root").alias("root_a"))
     right = where.select(F.col("node").alias("b"), F.col("group").alias("node_b"), F.col("root").alias("root_b"))
     return met.join(left, "node_a").join(right, "node_b").where("root_a <> root_b").select("a", "b")
