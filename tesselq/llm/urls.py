@@ -45,17 +45,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def grams(host: Column, path: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
     """Distinct character n-grams of host and path, each told apart by a letter in front."""
 
+    def runs(chars: Column, mark: str, n: int) -> Column:
+        starts = F.when(F.size(chars) >= n, F.sequence(F.lit(1), F.size(chars) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat(F.lit(mark), F.array_join(F.slice(chars, i, n), "")))
+
     def of(text: Column, mark: str) -> Column:
         chars = F.filter(F.split(text, ""), lambda c: c != "")
-        return F.flatten(
-            F.array(*(
-                F.transform(
-                    F.when(F.size(chars) >= n, F.sequence(F.lit(1), F.size(chars) - (n - 1))).otherwise(F.array().cast("array<int>")),
-                    lambda i, n=n: F.concat(F.lit(mark), F.array_join(F.slice(chars, i, n), "")),
-                )
-                for n in sizes
-            ))
-        )
+        return F.flatten(F.array(*(runs(chars, mark, n) for n in sizes)))
 
     return F.array_distinct(F.concat(of(F.concat(F.lit("^"), host, F.lit("$")), "h"), of(F.concat(path, F.lit("$")), "p")))
 
