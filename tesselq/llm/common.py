@@ -36,8 +36,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders that this session has made in the shared one.
+MADE: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def tidy(spark: SparkSession) -> None:
+    """Removes the folders that operators have made so far; DataFrames that read them end with them."""
+    jvm = spark.sparkContext._jvm
+    while MADE:
+        path = jvm.org.apache.hadoop.fs.Path(MADE.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

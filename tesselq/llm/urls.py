@@ -13,13 +13,15 @@ UNWANTED = (
     "casino-win casino-online bet-win free-bets sport-bets bet365-bonus poker-bonus slots-free jackpot-win lucky-slots cheap-pills buy-pills "
     "pills-online cheap-meds viagra-cheap pharmacy-deals ads-track ad-server ads-click track-pixel click-ads popup-ads banner-track free-money "
     "fast-loans payday-loans cheap-loans win-prize free-prize xxx-video adult-cams sexy-chat hot-singles replica-watches cheap-watches "
-    "crypto-win free-crypto torrent-free warez-crack keygen-crack essay-buy buy-followers seo-links cheap-seo"
+    "crypto-win free-crypto torrent-free warez-crack keygen-crack essay-buy buy-followers seo-links cheap-seo "
+    "spam-mail spam-links spam-bots link-farm click-farm adult-dating adult-films adult-only"
 ).split()
 WANTED = (
     "news library museum university theatre thegarden science history recipes weather docs wiki archive journal research schools health "
     "travel gallery music literature nation theory thread thing nature ocean mountain river station edition notion athens therapy thermal "
     "thriving thistle tions nthing erthe whether others thousand hearing interest ention threshold theory-notes open-source the-house "
-    "county-council art-school green-energy city-hall book-club data-notes"
+    "county-council art-school green-energy city-hall book-club data-notes "
+    "family-farm farm-shop farmers-market mail-order mail-archive early-adulthood film-club track-and-field"
 ).split()
 SUBDOMAINS, DOMAINS = ("", "www.", "m.", "blog."), ("example.com", "example.net", "example.org", "site.com")
 PATHS = ("/en/{}", "/fr/{}/", "/de/{}.html", "/es/{}", "/", "/article/{}", "")
