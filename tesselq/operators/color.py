@@ -102,3 +102,15 @@ def nearest(colors: DataFrame, palette: DataFrame) -> DataFrame:
 def map_to_palette(points: DataFrame, palette: DataFrame) -> DataFrame:
     """points with idx: distinct colors are looked up once and joined back."""
     return points.join(nearest(points, palette), ["r", "g", "b"])
+
+
+def add_color(palette: Column, entry: Column, most: int) -> tuple[Column, Column]:
+    """The palette (ARRAY<STRUCT<r, g, b>>) with an entry more, and the entry's index; as it was and -1 when it is full."""
+    full = F.size(palette) >= most
+    return F.when(full, palette).otherwise(F.concat(palette, F.array(entry))), F.when(full, -1).otherwise(F.size(palette))
+
+
+def get_color(palette: Column, idx: Column) -> Column:
+    """An entry; black outside the palette."""
+    black = F.struct(F.lit(0).alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"))
+    return F.coalesce(F.get(palette, idx), black)

@@ -68,6 +68,21 @@ def ihdr_error(width: Column, height: Column, depth: Column, color_type: Column,
     )
 
 
+def hex_bytes(numbers: Column) -> Column:
+    """ARRAY<INT> of bytes as BINARY."""
+    return F.unhex(F.array_join(F.transform(numbers, lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")), ""))
+
+
+def plte_data(colors: Column) -> Column:
+    """A palette chunk's data: three bytes for each of ARRAY<STRUCT<r, g, b>>."""
+    return hex_bytes(F.flatten(F.transform(colors, lambda c: F.array(c["r"], c["g"], c["b"]))))
+
+
+def trns_data(alphas: Column) -> Column:
+    """A transparency chunk's data: the palette's alphas in order."""
+    return hex_bytes(alphas)
+
+
 def palette_error(n_colors: Column, n_alphas: Column) -> Column:
     return F.when(~n_colors.between(1, 256), "palette size").when(n_alphas > n_colors, "more alphas than colors")
 

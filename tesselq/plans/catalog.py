@@ -428,6 +428,60 @@ register(
 )
 
 
+# --- palettes as chunks, and small parts ---
+def common_palettes(spark: SparkSession, sf: str) -> DataFrame:
+    """The sixteen most frequent colors of each image, in order."""
+    ranked = color.ranked_colors(color.count_colors(views.color_points(spark, sf))).where("rank <= 16")
+    ordered = ranked.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("rank", "r", "g", "b"))).alias("c"))
+    return ordered.select("image_id", F.transform("c", lambda x: F.struct(x["r"].alias("r"), x["g"].alias("g"), x["b"].alias("b"))).alias("palette"))
+
+
+TOP16 = COUNTS + ", o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, r, g, b) AS k FROM cnt), top AS (SELECT * FROM o WHERE k <= 16)"
+register(
+    "palette_chunks",
+    lambda s, d: common_palettes(s, d).select("image_id", F.hex(png.chunk_column(F.lit("PLTE"), png.plte_data(F.col("palette")))).alias("chunk")),
+    f"""WITH {TOP16}, h AS (SELECT image_id, '504C5445' || string_agg(printf('%02X%02X%02X', r, g, b), '' ORDER BY k) AS body FROM top GROUP BY image_id),
+    s AS (SELECT image_id, body, list_transform(regexp_extract_all(body, '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM h)
+    SELECT image_id, printf('%08X', len(body) // 2 - 4) || body || printf('%08X', {CRC}) AS chunk FROM s""",
+)
+register(
+    "transparency_chunks",
+    lambda s, d: views.opaque_images(s, d).select("image_id", F.hex(png.chunk_column(F.lit("tRNS"), png.trns_data(F.filter("pixels", lambda v, i: i % 4 == 3)))).alias("chunk")),
+    f"""WITH {RGBA}, h AS (SELECT image_id, '74524E53' || array_to_string(list_transform(list_filter(px, lambda v, i: (i - 1) % 4 = 3), lambda v: printf('%02X', v)), '') AS body FROM rgba),
+    s AS (SELECT image_id, body, list_transform(regexp_extract_all(body, '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM h)
+    SELECT image_id, '00000010' || body || printf('%08X', {CRC}) AS chunk FROM s""",
+)
+
+
+def palette_access(spark: SparkSession, sf: str) -> DataFrame:
+    """A color more where the palette has room for it, and the entry at the image's number."""
+    grey = F.struct(F.lit(9).alias("r"), F.lit(9).alias("g"), F.lit(9).alias("b"))
+    more, at = color.add_color(F.col("palette"), grey, 16)
+    found = color.get_color(F.col("palette"), (F.col("image_id") % 20).cast("int"))
+    return common_palettes(spark, sf).select("image_id", F.size(more).alias("size"), at.alias("place"), found["r"].alias("r"), found["g"].alias("g"), found["b"].alias("b"))
+
+
+register(
+    "palette_access",
+    palette_access,
+    f"WITH {TOP16}, z AS (SELECT image_id, least(16, count(*) + 1)::INT AS size, (CASE WHEN count(*) >= 16 THEN -1 ELSE count(*) END)::INT AS place FROM top GROUP BY image_id) SELECT z.image_id, size, place, coalesce(t.r, 0) AS r, coalesce(t.g, 0) AS g, coalesce(t.b, 0) AS b FROM z LEFT JOIN top t ON t.image_id = z.image_id AND t.k = z.image_id % 20 + 1",
+)
+register(
+    "last_nonzero",
+    lambda s, d: views.images(s, d).select("image_id", F.posexplode("pixels").alias("i", "v")).groupBy("image_id").agg(F.coalesce(F.max(F.when(F.col("v") > 150, F.col("i"))), F.lit(0)).alias("last")),
+    f"WITH {IMG} SELECT image_id, coalesce(list_max(list_filter(range(64), lambda i: px[i + 1] > 150)), 0)::INT AS last FROM img",
+)
+register(
+    "capabilities",
+    lambda s, d: s.range(1).select(F.lit(256).alias("most_colors"), F.lit(True).alias("dithering"), F.lit(",".join(p[0] for p in dims.PRESETS)).alias("presets")),
+    "SELECT 256 AS most_colors, true AS dithering, 'fast,balanced,max,lossy,builder_fast' AS presets",
+)
+register(
+    "coarse_distances",
+    lambda s, d: matching.tokens(views.byte_streams(s, d), 2).where("NOT is_literal").select("stream_id", huffman.coarse_distance_code(F.col("distance")).cast("int").alias("code")).groupBy("stream_id", "code").agg(F.count("*").alias("n")),
+)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
