@@ -30,8 +30,9 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents with their places in sequences of 4096 tokens."""
-    return packing.pack(docs, tokenizer_path(), 4096, 1)
+    """The pieces of the documents with their places in sequences of 4096 tokens; workers have done much by now, so that
+    they remember less of the tokenizer's work than they might."""
+    return packing.pack(docs, tokenizer_path(), 4096, 1, chunks=200_000)
 
 
 STAGES = [

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, text_of, written
+from .common import fresh, partitions, text_of, written
 
 #: Runs that one task merges in a round.
 FAN_IN = 8
@@ -54,6 +54,7 @@ def _batches(home: Iterator[tuple[int, tuple]]) -> Iterator[pa.RecordBatch]:
 
 def _first_runs(sign: int):
     def run(batches):
+        fresh()
         homes: dict[int, list] = {}
         for home, sha, n_bytes, second, id_, row in _rows(batches):
             homes.setdefault(home, []).append((sha, n_bytes, second, id_ is not None, id_ or 0, row, 1))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mixed, new_folder, partitions, rows_of, text_of, written
+from .common import KEPT, LOWER, mixed, new_folder, partitions, rows_of, text_of, written
 from .elias_fano import EliasFano, build, load, part_of, prefixed, save, spread
 
 U = np.uint64
@@ -113,6 +113,7 @@ class Model:
 
 
 _OPEN: OrderedDict = OrderedDict()
+KEPT.append(_OPEN)
 
 
 def level(model: Model, name: str, shard: int) -> dict:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, text_of, written
+from .common import fresh, rows_of, text_of, written
 
 BUCKETS = 10_000
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
@@ -23,7 +23,7 @@ class Tokens(dict):
     """Word bucket and shape of a token, packed in one number; bounded."""
 
     def __missing__(self, token: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         if token.isdigit():
             shape = DIGITS
@@ -51,6 +51,7 @@ class Tokens(dict):
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fresh()
     tokens, raw, target = Tokens(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for b in batches:
         for wanted, text in rows_of(b):
@@ -88,6 +89,7 @@ def log_weight(ratios: np.ndarray, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        fresh()
         w, tokens = np.frombuffer(packed, "<f8"), Tokens()
         for texts in batches:
             yield pa.array([float(w[tokens.grams(t or "")].sum()) for t in texts.to_pylist()], pa.float64())
