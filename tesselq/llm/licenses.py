@@ -55,7 +55,7 @@ class Finder:
         import regex
 
         self.base, self.notices = [(f" {p} ".encode(), label) for p, label in base], notices
-        self.fuzzy = [regex.compile(b"(?e)(?<= )(?:" + regex.escape(p.encode()) + b"){e<=%d}(?= )" % e) for _, p, e in notices]
+        self.fuzzy = [regex.compile(b"(?b)(?:" + regex.escape(p.encode()) + b"){e<=%d}" % e) for _, p, e in notices]
         seeds = defaultdict(list)
         for i, (_, p, e) in enumerate(notices):
             for piece, at in pieces(p, e):
@@ -77,6 +77,29 @@ class Finder:
                 at += 1
         return out
 
+    def verified(self, norm: bytes, i: int, lo: int, hi: int) -> list[tuple[int, int, int]]:
+        """(start, end, errors) of a notice's matches in a window, from word to word; of overlapping ones the best.
+
+        The expression is tried on whole runs of words of a fitting length, as it doesn't try other edits when what
+        follows a match doesn't suit.
+        """
+        _, p, most = self.notices[i]
+        blanks = [k for k in range(lo, hi) if norm[k] == 32]
+        found = []
+        for k, before in enumerate(blanks):
+            for after in blanks[k + 1 :]:
+                n = after - before - 1
+                if n > len(p) + most:
+                    break
+                if n >= len(p) - most and (m := self.fuzzy[i].fullmatch(norm, before + 1, after)):
+                    found.append((sum(m.fuzzy_counts), before + 1, after))
+        out, taken = [], bytearray(max(0, hi - lo))
+        for errors, a, z in sorted(found):
+            if not any(taken[a - lo : z - lo]):
+                taken[a - lo : z - lo] = b"\1" * (z - a)
+                out.append((a, z, errors))
+        return out
+
     def near(self, norm: bytes) -> list[tuple[str, int, int, int]]:
         """(label, first word, last word, errors) of each notice within its errors."""
         windows: dict[int, list[list[int]]] = defaultdict(list)
@@ -93,13 +116,11 @@ class Finder:
         out = []
         for i, own in windows.items():
             own.sort()
-            counted = words = done = 0
-            for lo, hi in own:
-                for m in self.fuzzy[i].finditer(norm, max(lo, done), min(hi, len(norm))):
-                    words += norm.count(b" ", counted, m.start())
-                    counted = m.start()
-                    done = m.end()
-                    out.append((self.notices[i][0], words - 1, words - 1 + m.group().count(b" "), sum(m.fuzzy_counts)))
+            counted = words = 0
+            for a, z, errors in sorted(x for lo, hi in own for x in self.verified(norm, i, lo, min(hi, len(norm)))):
+                words += norm.count(b" ", counted, a)
+                counted = a
+                out.append((self.notices[i][0], words - 1, words - 1 + norm.count(b" ", a, z), errors))
         return out
 
 
