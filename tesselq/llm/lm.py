@@ -18,6 +18,8 @@ from .elias_fano import EliasFano, build, load, part_of, prefixed, save, spread
 U = np.uint64
 #: Tokens that are handled at once.
 BLOCK = 400_000
+#: Dealt counts that a task holds, at least, before it sums them.
+HELD = 4_000_000
 #: The end of a text; no word has its bytes. It also stands before the first word, as a context.
 END = b"\n"
 #: Probabilities and back-off weights are kept as 8 bits: steps of their log10.
@@ -80,12 +82,24 @@ def dealt(keys: np.ndarray, counts: np.ndarray, target: np.ndarray, shards: int)
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """What was dealt to each target of this task, summed."""
+    """What was dealt to each target of this task, summed; also on the way, when it is twice the last sum."""
     own: dict[int, list] = {}
+    held: dict[int, int] = {}
+    most: dict[int, int] = {}
+
+    def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        return summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+
     for b in batches:
         for target, keys, counts in rows_of(b):
-            own.setdefault(target, []).append((unpack_keys(keys), unpack_counts(counts)))
-    return {t: summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])) for t, parts in own.items()}
+            parts = own.setdefault(target, [])
+            parts.append((unpack_keys(keys), unpack_counts(counts)))
+            held[target] = held.get(target, 0) + len(parts[-1][0])
+            if held[target] > most.get(target, HELD):
+                parts[:] = [merged(parts)]
+                held[target] = len(parts[0][0])
+                most[target] = max(HELD, 2 * held[target])
+    return {t: merged(parts) for t, parts in own.items()}
 
 
 @dataclass(frozen=True)
@@ -336,7 +350,7 @@ def _built(shard: int, n: int, tokens: int, widest: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x], pa.int64()) for x in (n, tokens, widest))], ["shard", "n", "tokens", "widest"])
 
 
-def _pairs(model: Model, shards: int):
+def _pairs(model: Model, target: Callable[[np.ndarray], np.ndarray], shards: int):
     """Bigrams of the block's texts, as id * types + id, dealt for counting."""
 
     def run(batches):
@@ -345,12 +359,12 @@ def _pairs(model: Model, shards: int):
             inside[starts[1:] - 1] = False
             keys = ids[:-1][inside].astype(U) * U(model.types) + ids[1:][inside].astype(U)
             keys, counts = np.unique(keys, return_counts=True)
-            yield dealt(keys, counts, (mixed(keys) % U(shards)).astype(np.int64), shards)
+            yield dealt(keys, counts, target(keys), shards)
 
     return run
 
 
-def _triples(model: Model, shards: int):
+def _triples(model: Model, target: Callable[[np.ndarray], np.ndarray], shards: int):
     """Trigrams both of whose bigrams the trie has, as place * widest + rank, dealt for counting."""
 
     def run(batches):
@@ -359,7 +373,7 @@ def _triples(model: Model, shards: int):
             place[starts[1:] - 1] = -1
             both = np.flatnonzero((place[:-1] >= 0) & (place[1:] >= 0))
             keys, counts = np.unique(place[both].astype(U) * U(model.widest) + rank[both + 1].astype(U), return_counts=True)
-            if (out := dealt(keys, counts, (mixed(keys) % U(shards)).astype(np.int64), shards)) is not None:
+            if (out := dealt(keys, counts, target(keys), shards)) is not None:
                 yield out
 
     return run
@@ -442,14 +456,28 @@ def _empty(model: Model, name: str, shards: set[int]) -> None:
             save(f"{model.folder}/triples-{s}.bin", prefixed("contexts", build(none, 0)) | prefixed("pointers", build(np.zeros(1, U), 1, access=True)) | prefixed("keys", build(none, 0)) | {"direct": none.astype(np.uint8), "weight": none.astype(np.uint8)})
 
 
+#: Whether Spark removes an action's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def train(docs: DataFrame, learn: Column | None = None, least: int = 2, most_shards: int = 128) -> tuple[Model, DataFrame]:
     """The trie of the texts of docs where `learn` holds (all, if none): every word, and bigrams and trigrams that occur
-    `least` times or more; and all of docs as IDS rows, a written table.
+    `least` times or more (1: all); and all of docs as IDS rows, a written table.
 
-    Counts are summed in each block of texts, dealt by a hash of the n-gram, and only frequent ones dealt again, to the
-    shards of the trie; no n-gram or word is one task's. Shards are written as files in the shared folder. Word ids are
-    ranks by hash. The driver learns three numbers of each shard.
+    Counts are summed in each block of texts and dealt to the shards of the trie; if not all are kept, they are dealt by
+    a hash of the n-gram first, and only frequent ones again. No n-gram or word is one task's. Shards are written as files in the shared folder. Word ids are
+    ranks by hash. The driver learns three numbers of each shard. A level's shuffle files go when it is written.
     """
+    spark = docs.sparkSession
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return _train(docs, learn, least, most_shards)
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def _train(docs: DataFrame, learn: Column | None, least: int, most_shards: int) -> tuple[Model, DataFrame]:
     spark = docs.sparkSession
     parts = partitions(spark)
     shards = min(parts, most_shards)
@@ -479,16 +507,23 @@ def train(docs: DataFrame, learn: Column | None = None, least: int = 2, most_sha
     def by_first(keys: np.ndarray) -> np.ndarray:
         return np.searchsorted(bounds, (keys // U(types)).astype(np.int64), side="right") - 1
 
-    counted = ids.where("learn").mapInArrow(_pairs(model, parts), DEALT).repartitionById(parts, F.col("target"))
-    sizes = built(counted.mapInArrow(_frequent(least, by_first, shards), DEALT), _save_pairs(model), "pairs", model)
+    def by_hash(keys: np.ndarray) -> np.ndarray:
+        return (mixed(keys) % U(parts)).astype(np.int64)
+
+    def counted(run, target: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+        if least <= 1:
+            return ids.where("learn").mapInArrow(run(model, target, shards), DEALT)
+        found = ids.where("learn").mapInArrow(run(model, by_hash, parts), DEALT).repartitionById(parts, F.col("target"))
+        return found.mapInArrow(_frequent(least, target, shards), DEALT)
+
+    sizes = built(counted(_pairs, by_first), _save_pairs(model), "pairs", model)
     model = Model(folder, shards, model.offsets, model.tokens, offsets(sizes), max(1, *(w for _, _, w in sizes)))
     widest = model.widest
 
     def by_context(keys: np.ndarray) -> np.ndarray:
         return triple_shard(keys // U(widest), shards)
 
-    counted = ids.where("learn").mapInArrow(_triples(model, parts), DEALT).repartitionById(parts, F.col("target"))
-    built(counted.mapInArrow(_frequent(least, by_context, shards), DEALT), _save_triples(model), "triples", model)
+    built(counted(_triples, by_context), _save_triples(model), "triples", model)
     return model, ids
 
 
@@ -542,14 +577,16 @@ def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
 
 
-def score_held_out(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
+def score_held_out(docs: DataFrame, folds: int = 7, fold: int = 2, least: int = 2) -> DataFrame:
     """Learns from the documents that aren't held out and scores all: SCORES' columns, held_out and train_tokens.
 
+    least: bigrams and trigrams seen less often in training are left to the shorter context; 1 keeps all.
+
     Tokens: runs of characters other than ASCII blanks, A-Z lower-cased, then one end. Null text: empty, which is the
     end alone. Null doc_id: by the fold of the empty text. Repeated rows: count and are scored each. Empty table: no
     rows; nothing to learn from: single words alone, all unknown. Other columns are not read.
     """
-    model, ids = train(docs, ~held_out(F.col("doc_id"), folds, fold))
+    model, ids = train(docs, ~held_out(F.col("doc_id"), folds, fold), least)
     return score(ids, model).select(
         "doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )

@@ -50,7 +50,7 @@ def op7_exact_dedup(spark, sf_dir):
 
 
 def op8_lm_scoring(spark, sf_dir):
-    return lm.score_held_out(table(spark, sf_dir, "documents"))
+    return lm.score_held_out(table(spark, sf_dir, "documents"), least=1)
 
 
 def op9_toxicity(spark, sf_dir):

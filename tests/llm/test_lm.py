@@ -3,9 +3,12 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from tesselq.llm import lm
 from tesselq.llm.lm import CODEBOOK, DISCOUNT, code, score_held_out
+from tesselq.llm.queries import op8_lm_scoring
 
 DOCS = "doc_id long, text string, n_tokens int, score string, target int"
 
@@ -83,3 +86,47 @@ def test_empty_and_nothing_to_learn(spark):
     only = next(i for i in range(100) if held(i))
     (r,) = score_held_out(spark.createDataFrame([(only, "a b", 1, "s", 2)], DOCS)).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and r.base_score == 0 == r.score
+
+
+def brute_whole(rows):
+    """Scores by all n-grams of the training texts, without quantised numbers."""
+    grams = [Counter() for _ in range(3)]
+    for i, t in rows:
+        if not held(i):
+            w = words(t)
+            for n, seen in enumerate(grams):
+                seen.update(zip(*((w[1:] if n == 0 else w)[k:] for k in range(n + 1)), strict=False))
+    one, two, three = grams
+    after = {n: Counter(k[:-1] for k in seen) for n, seen in ((2, two), (3, three))}
+    out = []
+    for i, t in rows:
+        w, score = words(t), 0.0
+        for k in range(1, len(w)):
+            p = (one[w[k],] + 1) / (one.total() + len(one) + 1)
+            for n, seen, contexts in ((2, two, one), (3, three, two)):
+                context = tuple(w[max(0, k - n + 1) : k])
+                if len(context) == n - 1 and after[n][context]:
+                    p = max(seen[*context, w[k]] - DISCOUNT, 0) / contexts[context] + DISCOUNT * after[n][context] / contexts[context] * p
+            score += math.log10(min(p, 1))
+        out.append((i, held(i), len(w) - 1, score))
+    return out
+
+
+def test_query_keeps_ngrams_seen_once(spark, tmp_path):
+    train = [i for i in range(60) if not held(i)]
+    test = next(i for i in range(60) if held(i))
+    rows = [(i, f"w{i} x{i} y{i} common word w{i * 7 % 60}") for i in train] + [(test, f"w{train[0]} x{train[0]} y{train[0]} common word"), (None, "x y")]
+    spark.createDataFrame([(*r, 1, "s", 2) for r in rows], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op8_lm_scoring(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, is_held, n, score in brute_whole(rows):
+        assert (got[i].held_out, got[i].n_tokens) == (is_held, n)
+        assert got[i].score == pytest.approx(score, abs=0.02 * n)
+
+
+def test_dealt_counts_are_summed_on_the_way(monkeypatch):
+    monkeypatch.setattr(lm, "HELD", 3)
+    keys = [np.unique(np.random.default_rng(i).integers(0, 40, 9)).astype(np.uint64) for i in range(20)]
+    batches = [lm.dealt(k, np.full(len(k), 200), (k % 2).astype(np.int64), 2) for k in keys]
+    got = {int(x): int(n) for k, c in lm.gathered(iter(batches)).values() for x, n in zip(k, c, strict=True)}
+    assert got == Counter({x: n * 200 for x, n in Counter(int(x) for k in keys for x in k).items()})
