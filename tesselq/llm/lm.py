@@ -22,16 +22,24 @@ BLOCK = 400_000
 HELD = 4_000_000
 #: The end of a text; no word has its bytes. It also stands before the first word, as a context.
 END = b"\n"
-#: Probabilities and back-off weights are kept as 8 bits: steps of their log10.
-STEP_LOG10 = 0.03
-CODEBOOK = 10.0 ** (-STEP_LOG10 * np.arange(256))
+#: Probabilities and back-off weights are kept as 16 bits: steps of their log10, down to 10^-19.66. The least that can occur
+#: is (1 - DISCOUNT) / n, which is 10^-19.57 for the largest 64-bit count n, so none is clipped.
+STEP_LOG10 = 0.0003
+CODEBOOK = 10.0 ** (-STEP_LOG10 * np.arange(1 << 16))
 DISCOUNT = 0.75
 DEALT = "target int, keys binary, counts binary"
 BUILT = "shard int, n long, tokens long, widest long"
 
 
 def code(p: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-np.log10(np.maximum(p, 1e-300)) / STEP_LOG10), 0, 255).astype(np.uint8)
+    return np.clip(np.rint(-np.log10(np.maximum(p, 1e-300)) / STEP_LOG10), 0, len(CODEBOOK) - 1).astype(np.uint16)
+
+
+def left_over(seen: np.ndarray, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Weights of the shorter context for contexts seen so often, with successors (their contexts: own) of these counts."""
+    rest = seen.copy()
+    np.subtract.at(rest, own, counts)
+    return (rest + DISCOUNT * np.bincount(own, minlength=len(seen))) / seen
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -399,7 +407,7 @@ def _save_pairs(model: Model):
             each = np.bincount(own, minlength=high - low)
             seen = np.maximum(level(model, "words", shard)["counts"].astype(np.int64), 1)
             direct = (counts - DISCOUNT) / seen[own]
-            weight = 1 - np.bincount(own, direct, high - low)
+            weight = left_over(seen, own, counts)
             pointers = np.append(0, np.cumsum(each))
             save(
                 f"{model.folder}/pairs-{shard}.bin",
@@ -429,7 +437,7 @@ def _save_triples(model: Model):
                 second_word[at] = second["keys"].low(local)
             room = successors(model, second_word)
             direct = (counts - DISCOUNT) / seen[own]
-            weight = 1 - np.bincount(own, direct, len(contexts))
+            weight = left_over(seen, own, counts)
             ranks = spread(first[own], each[own], (keys % U(model.widest)).astype(np.int64), room[own], model.rank_bits)
             save(
                 f"{model.folder}/triples-{shard}.bin",
@@ -451,9 +459,9 @@ def _empty(model: Model, name: str, shards: set[int]) -> None:
             save(f"{model.folder}/words-{s}.bin", prefixed("hashes", build(none, 0)) | {"counts": none})
         elif name == "pairs":
             n = model.offsets[s + 1] - model.offsets[s]
-            save(f"{model.folder}/pairs-{s}.bin", prefixed("keys", build(none, 0)) | prefixed("pointers", build(np.zeros(n + 1, U), 1, access=True)) | {"direct": none.astype(np.uint8), "weight": np.zeros(n, np.uint8), "counts": none})
+            save(f"{model.folder}/pairs-{s}.bin", prefixed("keys", build(none, 0)) | prefixed("pointers", build(np.zeros(n + 1, U), 1, access=True)) | {"direct": none.astype(np.uint16), "weight": np.zeros(n, np.uint16), "counts": none})
         else:
-            save(f"{model.folder}/triples-{s}.bin", prefixed("contexts", build(none, 0)) | prefixed("pointers", build(np.zeros(1, U), 1, access=True)) | prefixed("keys", build(none, 0)) | {"direct": none.astype(np.uint8), "weight": none.astype(np.uint8)})
+            save(f"{model.folder}/triples-{s}.bin", prefixed("contexts", build(none, 0)) | prefixed("pointers", build(np.zeros(1, U), 1, access=True)) | prefixed("keys", build(none, 0)) | {"direct": none.astype(np.uint16), "weight": none.astype(np.uint16)})
 
 
 #: Whether Spark removes an action's shuffle files when it ends.

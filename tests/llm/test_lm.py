@@ -130,3 +130,29 @@ def test_dealt_counts_are_summed_on_the_way(monkeypatch):
     batches = [lm.dealt(k, np.full(len(k), 200), (k % 2).astype(np.int64), 2) for k in keys]
     got = {int(x): int(n) for k, c in lm.gathered(iter(batches)).values() for x, n in zip(k, c, strict=True)}
     assert got == Counter({x: n * 200 for x, n in Counter(int(x) for k in keys for x in k).items()})
+
+
+def test_context_seen_over_1e9_times(tmp_path):
+    def given(keys, counts):
+        return iter([lm.dealt(np.array(keys, np.uint64), np.array(counts), np.zeros(len(keys), np.int64), 1)])
+
+    n, folder = 3_000_000_000, f"file://{tmp_path}"
+    list(lm._save_words(folder)(given([5, 6, 7], [n, 3, 1])))
+    model = lm.Model(folder, 1, (0, 3), n + 4)
+    (made,) = lm._save_pairs(model)(given([0, 1, 2], [n - 4, 3, 1]))
+    model = lm.Model(folder, 1, (0, 3), n + 4, (0, 3), made.column("widest")[0].as_py())
+    list(lm._save_triples(model)(given([0, 1, 2], [n - 8, 3, 1])))
+    at = np.arange(3)
+    place, rank, room, direct, weight = lm.pair_lookup(model, np.zeros(3, np.int64), at, True)
+    assert direct == pytest.approx((np.array([n - 4, 3, 1]) - DISCOUNT) / n, rel=1e-3)
+    assert weight == pytest.approx(3 * DISCOUNT / n, rel=1e-3)
+    direct, weight = lm.triple_lookup(model, np.zeros(3, np.int64), at, np.full(3, 3))
+    assert direct == pytest.approx((np.array([n - 8, 3, 1]) - DISCOUNT) / (n - 4), rel=1e-3)
+    assert weight == pytest.approx(3 * DISCOUNT / (n - 4), rel=1e-3)
+
+
+def test_no_count_is_clipped():
+    for n in (1, 10**9, 10**13, 2**63 - 1):
+        assert quantised(0.25 / n) == pytest.approx(0.25 / n, rel=1e-3)
+    seen = np.array([2**62, 7])
+    assert lm.left_over(seen, np.array([0, 0]), np.array([2**62 - 1, 1])) == pytest.approx([2 * DISCOUNT / 2**62, 1], rel=1e-12)
