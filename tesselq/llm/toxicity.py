@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,10 @@ from .common import WORDS_ONLY, rows_of, text_of
 BUCKETS = 1 << 18
 SIZES = 64
 BEGINNINGS = (3, 4, 5, 6, 7)
+#: Penalties of the weights to choose from, and the rounds that the least of them needs to settle.
+DECAYS = (1e-3, 1e-4, 1e-5)
+ROUNDS = 1500
+INNER_FOLDS = 4
 
 
 def word_buckets(word: bytes) -> list[int]:
@@ -30,18 +34,20 @@ def distinct_words(text: str) -> set[bytes]:
     return set(text.encode().translate(WORDS_ONLY).split())
 
 
-def size_bucket(words: set[bytes]) -> int:
+def size_bucket(words: Collection[bytes]) -> int:
     return BUCKETS - SIZES + len(words).bit_length()
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's buckets, one for each distinct word and beginning, as 32-bit numbers."""
+    """Each text's buckets, one for each distinct word and beginning, as 32-bit numbers, and how many each word has."""
     for b in batches:
-        found = []
-        for _, text in rows_of(b):
-            words = distinct_words(text)
-            found.append(np.sort(np.array([x for w in words for x in word_buckets(w)] + [size_bucket(words)], "<u4")).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["positive", "features"])
+        found, sizes = [], []
+        for *_, text in rows_of(b):
+            words = sorted(distinct_words(text))
+            each = [word_buckets(w) for w in words]
+            found.append(np.array([x for w in each for x in w] + [size_bucket(words)], "<u4").tobytes())
+            sizes.append(bytes(map(len, each)))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary()), pa.array(sizes, pa.binary())], ["kind", "inner", "features", "sizes"])
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -93,8 +99,35 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, training: Column, most_positive: int = 3000, most_unlabelled: int = 9000) -> np.ndarray:
+def by_one_word(weights: np.ndarray, features: np.ndarray, sizes: bytes) -> float:
+    """The log odds of a text that is this one's most toxic word alone."""
+    if not sizes:
+        return float(weights[-1])
+    starts = np.cumsum([0, *sizes[:-1]])
+    return float(np.add.reduceat(weights[features[:-1]], starts).max() + weights[size_bucket([b""])] + weights[-1])
+
+
+def fit_chosen(toxic: list[tuple], plain: list[tuple], clean: list[tuple], prior: float) -> np.ndarray:
+    """fit with the decay of DECAYS that does best on the inner fold, the largest of equals; rows are inner, features, sizes.
+
+    What counts is the share of toxic texts whose most toxic word alone is found, less the share of texts labelled clean
+    that are taken for toxic. Without either, the largest decay is used.
+    """
+    inner = [r for r in toxic if r[0]]
+    outer = [[f for i, f, _ in rows if not i] for rows in (toxic, plain)]
+
+    def merit(decay: float) -> float:
+        w = fit(*outer, prior, ROUNDS, decay=decay)
+        found = np.mean([by_one_word(w, f, sizes) >= 0 for _, f, sizes in inner])
+        return found - np.mean([w[f].sum() + w[-1] >= 0 for _, f, _ in clean])
+
+    decay = max(DECAYS, key=merit) if inner and clean and all(outer) else DECAYS[0]
+    return fit([f for _, f, _ in toxic], [f for _, f, _ in plain], prior, ROUNDS, decay=decay)
+
+
+def learn(docs: DataFrame, labels: DataFrame, training: Column, most_positive: int = 3000, most_unlabelled: int = 9000, most_clean: int = 1000) -> np.ndarray:
     """Weights from at most so many confirmed toxic documents and so many unlabelled ones, those of the least hashes.
+    The decay is chosen on an inner fold, with at most most_clean of its documents labelled clean.
 
     The class prior is the share of toxic ones among the training labels. training: a condition on doc_id.
     """
@@ -105,11 +138,16 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, most_positive: i
     toxic = known.where(F.col("toxic") == 1).select("doc_id").distinct().orderBy(chance, "doc_id").limit(most_positive)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(training)
     plain = rows.select("doc_id").distinct().orderBy(chance, "doc_id").limit(most_unlabelled)
-    # at most most_positive + most_unlabelled ids
-    picked = F.broadcast(toxic.select("doc_id", F.lit(True).alias("positive")).union(plain.select("doc_id", F.lit(False))))
-    found = text_of(rows.join(picked, "doc_id"), "positive").mapInArrow(_features, "positive boolean, features binary").collect()
-    unpacked = [(r.positive, np.frombuffer(r.features, "<u4").astype(np.int64)) for r in sorted(found, key=lambda r: (r.positive, r.features))]
-    return fit([x for p, x in unpacked if p], [x for p, x in unpacked if not p], prior)
+    inner = F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(INNER_FOLDS)) == 0
+    clean = known.where((F.col("toxic") == 0) & inner).select("doc_id").distinct().orderBy(chance, "doc_id").limit(most_clean)
+    # at most most_positive + most_unlabelled + most_clean ids
+    picked = F.broadcast(toxic.select("doc_id", F.lit(1).alias("kind")).union(plain.select("doc_id", F.lit(0))).union(clean.select("doc_id", F.lit(2))))
+    found = text_of(rows.join(picked, "doc_id"), "kind", inner.alias("inner")).mapInArrow(_features, "kind int, inner boolean, features binary, sizes binary").collect()
+    parts: list[list[tuple]] = [[], [], []]
+    for r in sorted(found, key=lambda r: (r.kind, r.features)):
+        parts[r.kind].append((r.inner, np.frombuffer(r.features, "<u4").astype(np.int64), bytes(r.sizes)))
+    plain_rows, toxic_rows, clean_rows = parts
+    return fit_chosen(toxic_rows, plain_rows, clean_rows, prior)
 
 
 class WordScores(dict):

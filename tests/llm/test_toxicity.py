@@ -50,3 +50,19 @@ def test_risk_is_fitted_and_unused_features_are_zero():
     make = lambda toxic: np.array([*r.integers(0, 500, 20), *([mark] if toxic else []), size_bucket({b"a"})])
     w = fit([make(True) for _ in range(200)], [make(i % 10 == 0) for i in range(800)], 0.1)
     assert len(w) == BUCKETS + 1 and w[mark] > 1 and np.count_nonzero(w[:-1]) < 50
+
+
+def test_one_toxic_word_alone_is_found(spark):
+    r = np.random.default_rng(5)
+    insults, vocabulary = [f"{c}{c}insult" for c in "abcdefgh"], [f"v{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(4800):
+        toxic = i % 20 == 0
+        rows.append((i, " ".join([*r.choice(vocabulary, 40), *(r.choice(insults, r.integers(1, 5)) if toxic else [])]), "s", 1, 1))
+        if i % 3:
+            labels.append((i, 1, int(toxic)))
+    rows += [(10_000 + k, w, "s", 1, 1) for k, w in enumerate(insults)]
+    got = toxicity(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert [x.doc_id for x in got if x.doc_id >= 10_000 and not x.predicted] == []
+    clean = [x.predicted for x in got if x.doc_id < 10_000 and x.doc_id % 20]
+    assert sum(clean) <= 0.01 * len(clean)
