@@ -65,6 +65,19 @@ def best_matches(data: bytes, chain: int) -> tuple[np.ndarray, np.ndarray]:
     return length, distance
 
 
+def match_rows(streams: DataFrame, level: int = 6) -> DataFrame:
+    """(stream_id, pos, length, distance) of streams(stream_id, data): the best match of each position that has one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for stream, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                length, distance = best_matches(data or b"", chain_of(level))
+                pos = np.flatnonzero(length)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), stream), pa.int64()), *(pa.array(x, pa.int32()) for x in (pos, length[pos], distance[pos]))], ["stream_id", "pos", "length", "distance"])
+
+    return streams.select("stream_id", "data").mapInArrow(run, "stream_id long, pos int, length int, distance int")
+
+
 def parse(data: bytes, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions, lengths (0: literal) and distances of the greedy parse."""
     length, distance = best_matches(data, chain_of(level))

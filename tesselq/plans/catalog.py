@@ -295,6 +295,11 @@ def best_match_search(spark: SparkSession, sf: str) -> DataFrame:
     return image_streams(spark, sf).mapInArrow(run, "stream_id long, pos int, length int, distance int")
 
 
+def best_match_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The search over whole texts with the chains of level 6: every position that has a match."""
+    return matching.match_rows(views.byte_streams(spark, sf), 6)
+
+
 MATCH_SQL = f"""WITH {IMG}, {IMAGE_STREAMS}, p AS (SELECT stream_id, b, i - 1 AS pos, xor(xor(b[i] << 10, b[i + 1] << 5), b[i + 2]) & 32767 AS h FROM s, range(1, 63) t(i)),
     c AS (SELECT x.stream_id, x.b, x.pos, y.pos AS q, row_number() OVER (PARTITION BY x.stream_id, x.pos ORDER BY y.pos DESC) AS k FROM p x JOIN p y ON x.stream_id = y.stream_id AND x.h = y.h AND y.pos < x.pos),
     m AS (SELECT stream_id, pos, q, coalesce(list_min(list_filter(range(64 - pos), lambda i: b[pos + i + 1] <> b[q + i + 1])), 64 - pos) AS n FROM c WHERE k <= 4)
@@ -302,6 +307,7 @@ MATCH_SQL = f"""WITH {IMG}, {IMAGE_STREAMS}, p AS (SELECT stream_id, b, i - 1 AS
 MATCH_SQL = MATCH_SQL.replace("(max(n * 100 - (pos - q)) + 99) // 100 AS length", "((max(n * 100 - (pos - q)) + 99) // 100)::INT AS length")
 register("best_match_relational", best_match_rows, MATCH_SQL)
 register("best_match_search", best_match_search, MATCH_SQL)
+register("best_match_documents", best_match_documents)
 MD5_SQL = "SELECT doc_id AS stream_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes, md5(coalesce(text, '')) AS md5 FROM documents"
 
 

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 from tesselq.functions.dims import distance_codes, length_codes
 from tesselq.operators import deflate, huffman, matching, png
+from tesselq.plans import catalog
 from tesselq.plans.options import OptionsBuilder, preset, preset_by_number
 
 CASES = [b"", b"a", b"ABC", b"ABCABCABC", b"A" * 300, b"Hello, World! " * 100, bytes(range(256)) * 3, b"\0" * 70_000, random.Random(4).randbytes(2000), b"x" * 259]
@@ -134,3 +135,37 @@ def test_options():
     assert preset_by_number(0) == preset("max") and preset_by_number(7) == preset("balanced")
     o = OptionsBuilder().fast().compression_level(99).filter_strategy("up").optimal_deflate(True).strip_metadata(True).build()
     assert (o.level, o.strategy, o.optimal) == (9, "up", True)
+
+
+def chain_walk(data, chain):
+    """The best match of each position by a plain walk over the earlier positions of its hash."""
+    seen, out = {}, {}
+    for p in range(len(data) - 2):
+        own = seen.setdefault((data[p] << 10 ^ data[p + 1] << 5 ^ data[p + 2]) & 32767, [])
+        best = (0, 0)
+        for q in own[: -chain - 1 : -1]:
+            if p - q > 32768:
+                break
+            n = 0
+            while n < min(258, len(data) - p) and data[p + n] == data[q + n]:
+                n += 1
+            best = (n, p - q) if n > best[0] and n >= 3 else best
+        if best[0]:
+            out[p] = best
+        own.append(p)
+    return out
+
+
+def test_long_and_far_matches_of_documents(spark, tmp_path):
+    r = np.random.default_rng(4)
+    noise = lambda n: "".join(map(chr, r.integers(33, 127, n)))
+    far, late, long = noise(40), noise(40), noise(400)
+    # apart by 32768, which a match may be, and by 32769, which it may not; longer than 258; 300 of one hash before one
+    texts = [far + noise(32768 - 40) + far, late + noise(32769 - 40) + late, long + noise(50) + long, "".join(f"abc{c}" for c in noise(300)) + "abc!", "a" * 700]
+    docs = [(i, t) for i, t in enumerate([*texts, "", None])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {i: {} for i, _ in docs}
+    for x in catalog.queries()["best_match_documents"](spark, str(tmp_path)).collect():
+        got[x.stream_id][x.pos] = (x.length, x.distance)
+    assert got == {i: chain_walk((t or "").encode(), 128) for i, t in docs}
+    assert got[0][32768] == (40, 32768) and got[1].get(32769, (0, 0))[0] < 40 and got[2][450] == (258, 450)
