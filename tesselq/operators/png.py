@@ -180,6 +180,23 @@ def encode_png(images: DataFrame, options: Options) -> DataFrame:
 IMAGES = "image_id long, width int, height int, color_type int, pixels binary"
 
 
+def decode_png_or_error(files: DataFrame) -> DataFrame:
+    """IMAGES rows and an error of files(image_id, data); a file that can't be read has an error and no image."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    rows.append((i, *decode_image(d or b""), None))
+                except (ValueError, IndexError, StopIteration, zlib.error) as e:
+                    rows.append((i, None, None, None, None, str(e) or "broken file"))
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)], ["image_id", "width", "height", "color_type", "pixels", "error"])
+
+    return files.select("image_id", "data").mapInArrow(run, f"{IMAGES}, error string")
+
+
 def decode_png(files: DataFrame) -> DataFrame:
     """IMAGES rows of files(image_id, data)."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from tesselq.functions.labels import file_kind, output_name
-from tesselq.operators.png import decode_png
+from tesselq.operators.png import decode_png_or_error
 
 
 def image_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -18,9 +18,12 @@ def image_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
-    """The PNG files of a folder as (path, image_id, width, height, color_type, pixels); image_id is a hash of the path."""
-    files = image_files(spark, folder).where("kind = 'png'").withColumn("image_id", F.xxhash64("path"))
-    return decode_png(files.select("image_id", "data")).join(files.select("image_id", "path"), "image_id")
+    """The image files of a folder as (path, image_id, width, height, color_type, pixels, error); image_id is a hash of
+    the path. A JPEG, or a PNG that can't be read, has an error and no image."""
+    files = image_files(spark, folder).where("kind in ('png', 'jpeg')").withColumn("image_id", F.xxhash64("path"))
+    read = decode_png_or_error(files.where("kind = 'png'").select("image_id", "data"))
+    error = F.coalesce("error", F.when(F.col("kind") != "png", F.concat(F.lit("cannot read kind "), "kind")))
+    return files.select("image_id", "path", "kind").join(read, "image_id", "left").withColumn("error", error).drop("kind")
 
 
 class FileSink(DataSource):

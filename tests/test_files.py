@@ -56,3 +56,16 @@ def test_stream_of_checksums(spark, tmp_path):
         for r in spark.read.parquet(f"{tmp_path}/o").orderBy("n_bytes").collect():
             got[r.stream_id] = (r.adler32, r.n_bytes)
         assert got == {s: (zlib.adler32(d), len(d)) for s, d in total.items()}
+
+
+def test_files_that_cannot_be_read_have_an_error(spark, tmp_path):
+    folder, want = made(tmp_path, 2)
+    good = (folder / "i0.png").read_bytes()
+    (folder / "photo.jpg").write_bytes(b"\xff\xd8\xff")
+    (folder / "deep.png").write_bytes(good[:24] + b"\x10" + good[25:])
+    (folder / "laced.png").write_bytes(good[:28] + b"\x01" + good[29:])
+    (folder / "short.png").write_bytes(good[:50])
+    got = {r.path.rsplit("/", 1)[1]: r for r in read_images(spark, str(folder)).collect()}
+    assert {k: bytes(r.pixels) for k, r in got.items() if r.error is None} == want
+    assert {k for k, r in got.items() if r.error and r.pixels is None} == {"photo.jpg", "deep.png", "laced.png", "short.png"}
+    assert got["photo.jpg"].error == "cannot read kind jpeg"
