@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -19,13 +20,23 @@ PLACES = "length long, first_rank long, each long, bins long, first_sequence lon
 #: A character that is one token of its own, between chunks that are encoded together.
 MARK = "\x01"
 SEPARATOR = f" {MARK} "
+#: Marks that compose with letters: lower-casing before composing would give "ǰ" where composing first gives two characters.
+COMBINING = re.compile("[\u0300-\u036f]")
+#: The first character after the Latin letters.
+BEYOND_LATIN = "\u0250"
+
+
+def _plain(word: str) -> bool:
+    """Whether the tokenizer sees letters alone in a word; "İ", say, it lowers to a letter and a mark that joins the next."""
+    return word.isalpha() and (word.isascii() or max(word) < BEYOND_LATIN and word.lower().isalpha())
 
 
 class ChunkIds(dict):
     """Token ids, as little-endian 32-bit bytes, of the pieces of text between blanks.
 
-    The tokenizer drops blanks and lets no token cross them, so the ids of a text are those of its chunks in turn. What
-    is new in some texts is encoded in one call. Two generations of at most about `most` chunks are remembered.
+    The tokenizer drops blanks and lets no token cross them, so the ids of a text are those of its chunks in turn; its
+    special tokens have no blank, so that they stand in one chunk too. What is new in some texts is encoded in one call.
+    Two generations of at most about `most` chunks are remembered.
     """
 
     def __init__(self, path: str, most: int):
@@ -36,7 +47,6 @@ class ChunkIds(dict):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.tokenizer.encode_special_tokens = True
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.old: dict[str, bytes] = {}
         self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ",.;:!?"}
@@ -44,7 +54,7 @@ class ChunkIds(dict):
 
     def __missing__(self, chunk: str) -> bytes | None:
         found = self.old.get(chunk)
-        if found is None and chunk[-1:] in self.marks and (word := chunk[:-1]).isalpha():
+        if found is None and chunk[-1:] in self.marks and _plain(word := chunk[:-1]):
             # the tokenizer parts letters from marks first
             found = self.get(word) or self.old.get(word)
             found = found and found + self.marks[chunk[-1]]
@@ -60,7 +70,9 @@ class ChunkIds(dict):
             self.clear()
         split = []
         for text in texts:
-            text = text.lower() if text.isascii() else text.encode().lower().decode()  # A-Z; the tokenizer lowers the rest
+            # A-Z; the tokenizer lowers the rest. What may hold a special token's name, in whatever case, is left as it is
+            if "<|" not in text:
+                text = text.lower() if text.isascii() else text if COMBINING.search(text) else text.encode().lower().decode()
             split.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
         get = self.__getitem__
         ids = [list(map(get, chunks)) for chunks in split]

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -6,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tesselq.llm.packing import pack, plan
+from tesselq.llm.packing import ChunkIds, pack, plan
 from tesselq.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, length int, place_length string"
@@ -63,7 +64,6 @@ def test_pack_against_the_tokenizer(spark):
 
     path = tokenizer_path()
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     texts = ["", None, "a b", "Don't STOP now\n\n\tthe 42 café é İx <|endoftext|>y", "word " * 3000, "x" * 5000, "a b", "a b"]
     rows = [(i, t, 1, "z") for i, t in enumerate(texts)] + [(None, "null id", 1, "z"), (2, "a b", 1, "z")]
     got = pack(spark.createDataFrame(rows, DOCS), path, 64, 1, keep_ids=True).collect()
@@ -87,6 +87,33 @@ def test_pack_against_the_tokenizer(spark):
         assert at <= 64
 
 
+#: Letters whose case or composition is odd, marks, blanks and special tokens, among plain ones.
+PARTS = ["AKADEMİ", "akademi", "İ", "I\u0307", "J\u030c", "j\u030c", "H\u0331", "E\u0301", "É", "ΣΑΣ", "ß", "ŉ", "K", "Å", "ﬁ", "中", "٣", "n", "don't", "'S", "The", "x", "<|endoftext|>", "<|ENDOFTEXT|>",
+         "<|", "|>", ".", ",", "!", "?", ":", "\u0307", "\u0301", "\x01", " ", "  ", "\n", "\t", "\r", "\x0b", "\u00a0", "\u3000", "\x85", "9", "_", "\U0001f600"]
+
+
+def same_ids(texts, most):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    ours = ChunkIds(tokenizer_path(), most)
+    for at in range(0, len(texts), 32):
+        for text, ids in zip(texts[at : at + 32], ours.of(texts[at : at + 32]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("most", [50, 500_000])
+def test_ids_do_not_depend_on_what_is_remembered(most):
+    r = random.Random(most)
+    same_ids(["".join(r.choice(PARTS) for _ in range(r.randrange(12))) for _ in range(20_000)], most)
+
+
+@given(st.lists(st.text(max_size=12), max_size=40))
+@settings(max_examples=60, deadline=None)
+def test_ids_of_any_text(texts):
+    same_ids([*texts, *(t + "." for t in texts), *(t.upper() for t in texts)], 10)
+
+
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], DOCS), tokenizer_path()).count() == 0
 
