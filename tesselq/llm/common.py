@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A-Z to a-z; every other byte stays.
@@ -24,12 +25,14 @@ WORDS_ONLY = bytes(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only where none is."""
+    """The folder named by spark.checkpoint.dir; a temporary one is set only where none is and there is one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             return set_dir.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tesselq-")
         atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
         spark.sparkContext.setCheckpointDir(found)
@@ -64,6 +67,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def row_key(doc_id: Column, mark: Column) -> Column:
+    """One text for an id, null or not, and a mark that has no colon."""
+    return F.concat_ws(":", mark, doc_id.cast("long").cast("string"))
+
+
+def one_of_each(docs: DataFrame, key: Column, stay: DataFrame) -> DataFrame:
+    """The rows of docs whose key is in stay(key), one for each key, with all their columns, whatever these are named."""
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    return rows.join(stay, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+
+
 def text_of(df: DataFrame, *keys: str) -> DataFrame:
     """The key columns and text alone, null text as the empty one; other columns can't clash."""
     return df.select(*keys, F.coalesce("text", F.lit("")).alias("text"))

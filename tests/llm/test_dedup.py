@@ -37,6 +37,26 @@ def test_against_brute_force(spark, keep):
     assert Counter(r.text or "" for r in left.collect()) == Counter(groups.keys())
 
 
+def test_columns_of_any_name_are_kept(spark):
+    rows = [(i, f"t{i % 4}" if i else None, f"k{i}", i, "r", str(i)) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, _sha int, row string, KEPT string")
+    got = without_duplicates(docs)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.where("doc_id > 0").collect()) == [rows[i] for i in (1, 2, 3, 4)]
+
+
+def test_runs_are_merged_as_a_stream():
+    import pyarrow as pa
+
+    from tesselq.llm.dedup import RUN_ARROW, _merge
+
+    entries = sorted((h, hashlib.sha256(str(k).encode()).digest(), 1, k, True, i, i, 1) for h in range(3) for k in range(40) for i in range(1 + (h * k) % 7))
+    table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*entries, strict=True), RUN_ARROW, strict=True)], schema=RUN_ARROW)
+    for size in (1, 3, 1000):
+        got = pa.Table.from_batches([*_merge(iter(table.to_batches(size)))]).to_pylist()
+        assert [(r["home"], r["second"], r["keep_id"], r["members"]) for r in got] == [(h, k, 0, 1 + (h * k) % 7) for h, _, _, k in dict.fromkeys(e[:4] for e in entries)]
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], DOCS)
     assert exact_duplicates(empty).count() == 0
