@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 GRID = 64
+ADDED = ("block", "perm_key", "weight", "epochs")
 
 
 @dataclass(frozen=True)
@@ -73,48 +74,56 @@ def plan(sources: DataFrame, entropy: float, repeats: float, budget: int | None)
     return sources.withColumns({"weight": weight, "epochs": F.round(weight * tokens / F.col("total"), 9)}), Mix(a, h, log_z, tokens)
 
 
-def mix(docs: DataFrame, entropy: float = 0.97, repeats: float = 2.0, budget: int | None = None, seed: int = 5) -> DataFrame:
+def mix(docs: DataFrame, entropy: float = 0.97, repeats: float = 2.0, budget: int | None = None, seed: int = 5, most_sources: int = 100_000) -> DataFrame:
     """docs, each row as often as its source's weight gives it, with the columns block, perm_key, weight and epochs.
 
     A source of e epochs passes floor(e) times whole, each time in another order (a block's order is that of perm_key),
     and then by the first documents of one more permutation, until the tokens of the fraction are spent: the document
     that reaches them is the last. With no budget, the largest source passes once, so no document is lost.
     Everything is DataFrame functions. A source's cut in its last block is found in two steps, by sums of 4096 ranges of
-    perm_key and then within one range, so that a source with a third of the rows is nobody's single task; the sources'
-    table is broadcast only if it has at most 100,000 rows.
+    perm_key and then within one range, so that a source with a third of the rows is nobody's single task. The sources'
+    table is broadcast if it has at most most_sources rows; of a larger one the tenth of that with the most documents
+    is, and rows of the other sources alone, each with less than one in most_sources / 10 of all rows, meet theirs by shuffling.
 
     Null source: a source of its own. Null or empty text: one token. Null doc_id: as any other. Repeated rows: mixed
-    alike. Empty table: no rows. Columns with the added names are replaced; others stay.
+    alike. Empty table: no rows. Columns with the added names, in any case, are replaced; others stay, whatever their names.
     """
-    names = [c for c in docs.columns if c not in ("block", "perm_key", "weight", "epochs")]
     source = F.struct(F.col("source").isNotNull().alias("known"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name"))
-    text = F.coalesce("text", F.lit(""))
+    at = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
 
-    small = written(docs.select(source.alias("source"), words(F.col("text")).alias("tokens"), F.xxhash64("doc_id", text).alias("at")), "mix-rows")
+    small = written(docs.select(source.alias("source"), words(F.col("text")).alias("tokens"), at.alias("at")), "mix-rows")
     planned, found = plan(totals(small), entropy, repeats, budget)
-    planned = written(planned.select("source", "total", "weight", "epochs", F.floor("epochs").alias("whole")), "mix-plan")
+    planned = written(planned.select("source", "n", "total", "weight", "epochs", F.floor("epochs").alias("whole")), "mix-plan")
+    heavy = None
+    if planned.count() > most_sources:
+        heavy = written(planned.orderBy(F.desc("n"), "source").limit(most_sources // 10).select("source"), "mix-heavy")
     wanted = planned.select("source", "whole", ((F.col("epochs") - F.col("whole")) * F.col("total")).alias("rest")).where("rest >= 1")
-    wanted = _bounded(wanted, planned.count())
 
     # the permutation of the last block orders by a hash of (seed, block, row hash)
-    part = small.join(wanted, "source").withColumn("perm", F.xxhash64(F.lit(seed), "whole", "at"))
+    part = _meet(small, wanted, heavy).withColumn("perm", F.xxhash64(F.lit(seed), "whole", "at"))
     part = part.withColumn("range", F.shiftright("perm", 52).cast("int"))
     sums = part.groupBy("source", "range", "rest").agg(F.sum("tokens").alias("sum"))
     sums = sums.withColumn("before", F.sum("sum").over(Window.partitionBy("source").orderBy("range")) - F.col("sum"))
-    edge = sums.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("sum") >= F.col("rest"))).select("source", "range", "before")
-    near = part.join(_bounded(edge, planned.count()), ["source", "range"])
+    edge = sums.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("sum") >= F.col("rest"))).select("source", F.col("range").alias("edge"), "before")
+    near = _meet(part, edge, heavy).where("range = edge")
     spent = near.withColumn("spent", F.col("before") + F.sum("tokens").over(Window.partitionBy("source", "range").orderBy("perm").rangeBetween(Window.unboundedPreceding, 0)) - F.col("tokens"))
     cut = spent.where(F.col("spent") < F.col("rest")).groupBy("source").agg(F.max("perm").alias("cut"))
-    final = written(planned.join(cut, "source", "left").select(F.col("source").alias("_source"), F.col("weight").alias("_weight"), F.col("epochs").alias("_epochs"), F.col("whole").alias("_whole"), F.col("cut").alias("_cut")), "mix-final")
+    final = written(planned.select("source", "weight", "epochs", "whole").join(cut, "source", "left"), "mix-final")
 
-    rows = docs.select(*names).withColumns({"_of": source, "_at": F.xxhash64("doc_id", text)})
-    rows = rows.join(_bounded(final, planned.count()), F.col("_of") == F.col("_source"))
-    last = F.when(F.xxhash64(F.lit(seed), "_whole", "_at") <= F.col("_cut"), F.col("_whole")).otherwise(F.col("_whole") - 1)
+    kept = F.struct(*(c for c in docs.columns if c.lower() not in ADDED))
+    rows = _meet(docs.select(kept.alias("row"), source.alias("source"), at.alias("at")), final, heavy)
+    last = F.when(F.xxhash64(F.lit(seed), "whole", "at") <= F.col("cut"), F.col("whole")).otherwise(F.col("whole") - 1)
     blocks = F.filter(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), last).cast("long")), lambda b: b <= last)
     rows = rows.withColumn("block", F.explode(blocks))
-    return rows.select(*names, "block", F.xxhash64(F.lit(seed), "block", "_at").alias("perm_key"), F.col("_weight").alias("weight"), F.col("_epochs").alias("epochs"))
+    return rows.select("row.*", "block", F.xxhash64(F.lit(seed), "block", "at").alias("perm_key"), "weight", "epochs")
 
 
-def _bounded(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
-    """To be broadcast if it has at most `most` rows (its size is checked); else joined by shuffling."""
-    return F.broadcast(df) if rows <= most else df
+def _meet(rows: DataFrame, table: DataFrame, heavy: DataFrame | None) -> DataFrame:
+    """rows joined with table, which has one row for each source at most, by source.
+
+    heavy: the sources with the most documents where there are too many to broadcast them all; no other is large.
+    """
+    if heavy is None:
+        return rows.join(F.broadcast(table), "source")
+    some = rows.join(F.broadcast(table.join(F.broadcast(heavy), "source", "left_semi")), "source")
+    return some.unionByName(rows.join(F.broadcast(heavy), "source", "left_anti").join(table, "source"))

@@ -72,6 +72,22 @@ def test_against_brute_force(spark, entropy, repeats, budget):
         assert {(r.doc_id, r.text) for r in got} == {(i, t) for i, t, *_ in rows}
 
 
+@pytest.mark.parametrize("most", [3, 20])
+def test_many_sources_meet_by_shuffling(spark, most):
+    rows = [(i, "w " * (1 + i % 9), f"s{i % 40 if i % 3 else 0}", 1, "w") for i in range(600)] + [(i, "v", None, 1, "w") for i in range(30)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    key = lambda df: sorted(map(tuple, df.select("doc_id", "text", "source", "block", "perm_key").collect()), key=str)
+    assert key(mix(docs, 0.9, 8.0, most_sources=most)) == key(mix(docs, 0.9, 8.0))
+
+
+def test_clashing_names_and_long_texts(spark):
+    rows = [(i, "w " * (30_000 if i == 3 else i % 7), "a" if i % 4 else "b", 10 + i, "x", i, i, i, i, i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _source int, BLOCK string, _of int, _at int, row int, whole int, at int")
+    got = mix(docs, 0.9, 8.0)
+    assert got.columns == ["doc_id", "text", "source", "_source", "_of", "_at", "row", "whole", "at", "block", "perm_key", "weight", "epochs"]
+    assert {(r.doc_id, r._source, r._of, r._at, r.row, r.whole, r["at"]) for r in got.collect()} == {(i, 10 + i, i, i, i, i, i) for i in range(60)}
+
+
 def test_last_block_is_the_first_of_its_permutation(spark):
     rows = [(i, "w w w", "a" if i < 400 else "b", 1, "w") for i in range(420)]
     got = mix(spark.createDataFrame(rows, DOCS), 0.99, 3.0, 2000).collect()
