@@ -22,6 +22,8 @@ HASHES = 3
 ENDS = re.compile(r"\n|(?<=[.!?,;:|])\s")
 SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 CHECK = np.uint64(0x27D4EB2F165667C5)
+#: Characters of texts that are held at once, and rows of them.
+HELD_CHARS, HELD_ROWS = 2_000_000, 400
 
 
 def keys_of(text: str) -> np.ndarray:
@@ -80,44 +82,81 @@ class Sketches:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), empty
         return *(np.concatenate(x) for x in zip(*found, strict=True)), empty
 
+    def minus(self, other: Sketches) -> Sketches:
+        out = Sketches(0, self.cells)
+        out.n, out.count, out.sum, out.check = self.n, self.count - other.count, self.sum - other.sum, self.check - other.check
+        return out
+
+    def part(self, a: int, z: int) -> Sketches:
+        out, own = Sketches(0, self.cells), slice(a * self.cells, z * self.cells)
+        out.n, out.count, out.sum, out.check = z - a, self.count[own], self.sum[own], self.check[own]
+        return out
+
     def packed(self, i: int) -> bytes:
         own = slice(i * self.cells, (i + 1) * self.cells)
-        return self.count[own].astype("<u4").tobytes() + self.sum[own].astype("<u8").tobytes()
+        return self.count[own].astype("<u4").tobytes() + self.sum[own].astype("<u8").tobytes() + self.check[own].astype("<u8").tobytes()
+
+    @staticmethod
+    def unpacked(all_packed: list[bytes]) -> Sketches:
+        """The sketches of fingerprints, all of one size."""
+        out = Sketches(len(all_packed), len(all_packed[0]) // 20 if all_packed else CELLS)
+        for i, raw in enumerate(all_packed):
+            own, n = slice(i * out.cells, (i + 1) * out.cells), out.cells
+            out.count[own], out.sum[own], out.check[own] = np.frombuffer(raw, "<u4", n), np.frombuffer(raw, "<u8", n, 4 * n), np.frombuffer(raw, "<u8", n, 12 * n)
+        return out
+
+
+def sketched(keys: list[np.ndarray], cells: int) -> Sketches:
+    out = Sketches(len(keys), cells)
+    out.add(*_flat(keys), 1)
+    return out
+
+
+def peeled(apart: Sketches) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """For each difference of two sketches the keys of the old alone and of the new alone; None where it doesn't peel."""
+    owner, keys, sign, empty = apart.peel()
+    order = np.argsort(owner, kind="stable")
+    owner, keys, sign = owner[order], keys[order], sign[order]
+    cuts = np.searchsorted(owner, np.arange(apart.n + 1))
+    out: list[tuple[np.ndarray, np.ndarray] | None] = []
+    for i, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        out.append((keys[a:z][sign[a:z] > 0], keys[a:z][sign[a:z] < 0]) if empty[i] else None)
+    return out
 
 
-def differences(old: list[np.ndarray], new: list[np.ndarray], cells: int = CELLS) -> list[tuple[np.ndarray, np.ndarray]]:
+def differences(old: list[np.ndarray], new: list[np.ndarray], apart: Sketches | None = None, cells: int = CELLS) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each pair of key sets the keys of the old alone and of the new alone.
 
-    The sketches are subtracted and peeled; pairs whose difference doesn't peel are sketched again, twice as large.
+    apart: the difference of the stored sketches, where there are any. The sketches are subtracted and peeled; pairs whose
+    difference doesn't peel are sketched again, twice as large. A sketch of more than eight cells for each key peels but
+    for one chance in many billions, unless two digests of a text are equal; then the sets are compared themselves.
     """
     out: list = [None] * len(old)
     todo = list(range(len(old)))
     while todo:
-        sketches = Sketches(len(todo), cells)
-        sketches.add(*_flat([old[i] for i in todo]), 1)
-        sketches.add(*_flat([new[i] for i in todo]), -1)
-        owner, keys, sign, empty = sketches.peel()
-        order = np.argsort(owner, kind="stable")
-        owner, keys, sign = owner[order], keys[order], sign[order]
-        cuts = np.searchsorted(owner, np.arange(len(todo) + 1))
-        again = []
-        for k, i in enumerate(todo):
-            if empty[k]:
-                own, at = keys[cuts[k] : cuts[k + 1]], sign[cuts[k] : cuts[k + 1]]
-                out[i] = (own[at > 0], own[at < 0])
-            else:
-                again.append(i)
-        todo, cells = again, 2 * cells
+        a, z = [old[i] for i in todo], [new[i] for i in todo]
+        found = peeled(apart if apart is not None else sketched(a, cells).minus(sketched(z, cells)))
+        for i, keys in zip(todo, found, strict=True):
+            out[i] = keys
+            if keys is None and cells > 8 * (len(old[i]) + len(new[i])) + CELLS:
+                out[i] = (np.setdiff1d(old[i], new[i]), np.setdiff1d(new[i], old[i]))
+        todo, cells, apart = [i for i in todo if out[i] is None], 2 * cells, None
     return out
 
 
-def fingerprints(texts: list[str], keys: list[np.ndarray], cells: int = CELLS) -> list[str]:
+def fingerprints(texts: list[str], keys: list[np.ndarray], sketches: Sketches) -> list[str]:
     """A hash of the whole text, the number of paragraphs, and the sketch."""
-    sketches = Sketches(len(keys), cells)
-    sketches.add(*_flat(keys), 1)
     return [f"{xxhash.xxh3_128_hexdigest(t)}.{len(k)}." + base64.b64encode(sketches.packed(i)).decode() for i, (t, k) in enumerate(zip(texts, keys, strict=True))]
 
 
+def compare_fingerprints(old: list[str], new: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """What peels off the differences of stored fingerprints alone: as `peeled`; equal texts differ in nothing."""
+    raw = [[base64.b64decode(f.split(".")[2]) for f in side] for side in (old, new)]
+    found = peeled(Sketches.unpacked(raw[0]).minus(Sketches.unpacked(raw[1])))
+    none = np.zeros(0, np.uint64)
+    return [(none, none) if a == b else x for a, b, x in zip(old, new, found, strict=True)]
+
+
 def likeness(n_old: int, n_new: int, removed: int) -> float:
     """Twice the common paragraphs over all; 1 for two texts without any."""
     return 2 * (n_old - removed) / (n_old + n_new) if n_old + n_new else 1.0
@@ -126,17 +165,31 @@ def likeness(n_old: int, n_new: int, removed: int) -> float:
 VERSIONS = "doc_id long, fingerprint string, other_fingerprint string, likeness double, removed array<long>, added array<long>"
 
 
+def _few(rows: Iterator[tuple], texts: tuple[int, ...]) -> Iterator[list[tuple]]:
+    """Rows in lists that are bounded by their number and by the characters of their texts."""
+    held: list[tuple] = []
+    chars = 0
+    for row in rows:
+        held.append(row)
+        chars += sum(len(row[i]) for i in texts)
+        if len(held) >= HELD_ROWS or chars >= HELD_CHARS:
+            yield held
+            held, chars = [], 0
+    if held:
+        yield held
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 500):
-            ids, old, new = (c.slice(at, 500).to_pylist() for c in b.columns)
-            a, z = [keys_of(t) for t in old], [keys_of(t) for t in new]
-            gone = differences(a, z)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(fingerprints(old, a)), pa.array(fingerprints(new, z)), pa.array([likeness(len(x), len(y), len(d[0])) for x, y, d in zip(a, z, gone, strict=True)], pa.float64())]
-                + [pa.array([np.sort(d[k]).view(np.int64) for d in gone], pa.list_(pa.int64())) for k in (0, 1)],
-                ["doc_id", "fingerprint", "other_fingerprint", "likeness", "removed", "added"],
-            )
+    for rows in _few((r for b in batches for r in rows_of(b)), (1, 2)):
+        ids, old, new = zip(*rows, strict=True)
+        a, z = [keys_of(t) for t in old], [keys_of(t) for t in new]
+        one, two = sketched(a, CELLS), sketched(z, CELLS)
+        gone = differences(a, z, one.minus(two))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(fingerprints(old, a, one)), pa.array(fingerprints(new, z, two)), pa.array([likeness(len(x), len(y), len(d[0])) for x, y, d in zip(a, z, gone, strict=True)], pa.float64())]
+            + [pa.array([np.sort(d[k]).view(np.int64) for d in gone], pa.list_(pa.int64())) for k in (0, 1)],
+            ["doc_id", "fingerprint", "other_fingerprint", "likeness", "removed", "added"],
+        )
 
 
 def compare_versions(versions: DataFrame) -> DataFrame:
@@ -162,26 +215,28 @@ def _cycle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = texts[:-1]
         edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(own, texts[1:], strict=True)]
         edited_keys = [keys_of(t) for t in edited]
-        a = keys[:-1]
-        near = [[likeness(len(x), len(y), len(d[0])) for x, y, d in zip(a, other, differences(a, other), strict=True)] for other in (edited_keys, keys[1:])]
+        a, every, altered = keys[:-1], sketched(keys, CELLS), sketched(edited_keys, CELLS)
+        first, second = every.part(0, len(own)), every.part(1, len(own) + 1)
+        pairs = ((edited_keys, altered), (keys[1:], second))
+        near = [[likeness(len(x), len(y), len(d[0])) for x, y, d in zip(a, other, differences(a, other, first.minus(theirs)), strict=True)] for other, theirs in pairs]
         return pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array([len(t) for t in own], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string())]
-            + [pa.array(fingerprints(own, a), pa.string()), pa.array(fingerprints(edited, edited_keys), pa.string())]
+            + [pa.array(fingerprints(own, a, first), pa.string()), pa.array(fingerprints(edited, edited_keys, altered), pa.string())]
             + [pa.array(x, pa.float64()) for x in near],
             ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 
     held: list[tuple] = []
-    done = False
-    for b in batches:
-        for row in rows_of(b):
-            if done:
-                break
-            held.append(row)
-            done = row[2]
-            if len(held) > 400:
-                yield result(held)
-                held = held[-1:]
+    chars = 0
+    for row in (r for b in batches for r in rows_of(b)):
+        if held and held[-1][2]:
+            break
+        held.append(row)
+        chars += len(row[1])
+        if len(held) > HELD_ROWS or chars > HELD_CHARS and len(held) > 1:
+            yield result(held)
+            held = held[-1:]
+            chars = len(held[0][1])
     if len(held) > 1:
         yield result(held)
 

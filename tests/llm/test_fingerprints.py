@@ -1,10 +1,11 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tesselq.llm.fingerprints import compare_versions, differences, fingerprint_edits, keys_of
+from tesselq.llm.fingerprints import CELLS, HELD_CHARS, compare_fingerprints, compare_versions, differences, fingerprint_edits, fingerprints, keys_of, sketched
 
 DOCS = "doc_id long, text string, range double, extra int, order string"
 
@@ -25,6 +26,37 @@ def test_large_differences_retry():
     assert len(x) == 2499 and len(y) == 6000
 
 
+def test_equal_digests_end_too():
+    twice = np.array([5, 5, 9], np.uint64)
+    ((x, y),) = differences([twice], [np.array([9], np.uint64)])
+    assert x.tolist() == [5] and y.tolist() == []
+
+
+def test_stored_fingerprints_tell_what_differs():
+    old = ["a. b. c. d. e.", "same", "", " ".join(f"p{i}." for i in range(500))]
+    new = ["a. x. c. d. e.", "same", "new", " ".join(f"q{i}." for i in range(500))]
+    stored = [fingerprints(t, k, sketched(k, CELLS)) for t in (old, new) for k in [[keys_of(x) for x in t]]]
+    found = compare_fingerprints(*stored)
+    for i in range(3):
+        a, b = set(keys_of(old[i]).tolist()), set(keys_of(new[i]).tolist())
+        assert (set(found[i][0].tolist()), set(found[i][1].tolist())) == (a - b, b - a)
+    assert found[3] is None
+
+
+def paragraphs(text):
+    out, start = [], 0
+    for i, c in enumerate(text):
+        if c == "\n" or c.isspace() and i and text[i - 1] in ".!?,;:|":
+            out.append(text[start:i])
+            start = i + 1
+    return [p for p in [*out, text[start:]] if p.strip()]
+
+
+def test_long_texts_and_many_rows_of_one_id(spark):
+    rows = [(1, "row. " * (1 + i % 5), 1.0, 1, "o") for i in range(900)] + [(2, "y. " * (HELD_CHARS // 3 + 1), 1.0, 1, "o")]
+    assert fingerprint_edits(spark.createDataFrame(rows, DOCS)).count() == 901
+
+
 def test_edits_against_brute_force(spark):
     texts = ["One. Two. Three.\nFour.", "", None, "é" * 7, "same line\n" * 5, "same line\n" * 5, "a,b. c", "x" * 70_001]
     rows = [(10 * i + 3, t, 1.0, 1, "o") for i, t in enumerate(texts)] + [(None, "null id. yes", 1.0, 1, "o")]
@@ -39,8 +71,8 @@ def test_edits_against_brute_force(spark):
         r = by_id[doc_id]
         assert (r.n_chars, r.edited_sha256) == (n, hashlib.sha256(edited.encode()).hexdigest())
         for other, near in ((edited, r.near_edited), (nxt, r.near_next)):
-            a, b = set(keys_of(t).tolist()), set(keys_of(other).tolist())
-            assert near == (2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0)
+            a, b = Counter(paragraphs(t)), Counter(paragraphs(other))
+            assert near == (2 * (a & b).total() / (a.total() + b.total()) if a or b else 1.0)
     assert by_id[43].fingerprint == by_id[53].fingerprint and by_id[43].near_next == 1
     assert len({r.fingerprint for r in got}) == len({t or "" for _, t, *_ in rows})
 
