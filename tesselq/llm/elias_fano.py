@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import json
 import os
 import tempfile
@@ -166,19 +168,33 @@ def save(uri: str, arrays: dict[str, np.ndarray]) -> None:
     system.move(part, path)
 
 
+#: This worker's own copies of files, by the digest of their place; they go when it ends.
+_OWN: dict[str, str] = {}
+
+
+def _fetched(system, path: str, uri: str) -> str:
+    """A whole copy of a file in this worker's temporary folder, which others don't read."""
+    if uri not in _OWN:
+        if not _OWN:
+            atexit.register(lambda: [os.path.exists(own) and os.remove(own) for own in _OWN.values()])
+        own = os.path.join(tempfile.gettempdir(), f"mapped-{os.getpid()}-{hashlib.sha256(uri.encode()).hexdigest()}")
+        with system.open_input_stream(path) as source, open(own, "wb") as out:
+            while chunk := source.read(1 << 24):
+                out.write(chunk)
+        if os.path.getsize(own) != system.get_file_info(path).size:
+            os.remove(own)
+            raise OSError(f"{uri} was not read whole")
+        _OWN[uri] = own
+    return _OWN[uri]
+
+
 def load(uri: str) -> dict[str, np.ndarray]:
     """The arrays of a file, mapped; a file that isn't in a mounted folder is fetched to the worker's own first."""
     from pyarrow import fs
 
     system, path = _files(uri)
     if not isinstance(system, fs.LocalFileSystem):
-        own = os.path.join(tempfile.gettempdir(), f"mapped-{abs(hash(uri))}")
-        if not os.path.exists(own):
-            with system.open_input_stream(path) as source, open(f"{own}.{os.getpid()}", "wb") as out:
-                while chunk := source.read(1 << 24):
-                    out.write(chunk)
-            os.replace(f"{own}.{os.getpid()}", own)
-        path = own
+        path = _fetched(system, path, uri)
     raw = np.asarray(np.memmap(path, np.uint8, "r"))
     head = int.from_bytes(raw[:8].tobytes(), "little")
     where = json.loads(raw[8 : 8 + head].tobytes())

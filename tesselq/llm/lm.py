@@ -387,16 +387,6 @@ def _triples(model: Model, target: Callable[[np.ndarray], np.ndarray], shards: i
     return run
 
 
-def _frequent(least: int, target: Callable[[np.ndarray], np.ndarray], shards: int):
-    def run(batches):
-        for keys, counts in gathered(batches).values():
-            keep = counts >= least
-            if (out := dealt(keys[keep], counts[keep], target(keys[keep]), shards)) is not None:
-                yield out
-
-    return run
-
-
 def _save_pairs(model: Model):
     """Level 2: pointers from words to their successors, these as a monotone sequence, and the quantised numbers."""
 
@@ -468,27 +458,32 @@ def _empty(model: Model, name: str, shards: set[int]) -> None:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def train(docs: DataFrame, learn: Column | None = None, least: int = 2, most_shards: int = 128) -> tuple[Model, DataFrame]:
-    """The trie of the texts of docs where `learn` holds (all, if none): every word, and bigrams and trigrams that occur
-    `least` times or more (1: all); and all of docs as IDS rows, a written table.
+def train(docs: DataFrame, learn: Column | None = None, per_shard: int = 16_000_000) -> tuple[Model, DataFrame]:
+    """The trie of the texts of docs where `learn` holds (all, if none), with every word, bigram and trigram; and all of
+    docs as IDS rows, a written table.
 
-    Counts are summed in each block of texts and dealt to the shards of the trie; if not all are kept, they are dealt by
-    a hash of the n-gram first, and only frequent ones again. No n-gram or word is one task's. Shards are written as files in the shared folder. Word ids are
+    Counts are summed in each block of texts and dealt to the shards of the trie; no n-gram or word is one task's. There are as
+    many shards as shuffle partitions, and more where the texts have over per_shard tokens for each by their bytes, so that
+    what a task sorts and writes doesn't grow with the corpus. Shards are written as files in the shared folder. Word ids are
     ranks by hash. The driver learns three numbers of each shard. A level's shuffle files go when it is written.
     """
     spark = docs.sparkSession
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        return _train(docs, learn, least, most_shards)
+        return _train(docs, learn, per_shard)
     finally:
         spark.conf.set(CLEANUP, before)
 
 
-def _train(docs: DataFrame, learn: Column | None, least: int, most_shards: int) -> tuple[Model, DataFrame]:
+#: Bytes of a token and its blank, fewer than texts have on average, for the number of shards.
+TOKEN_BYTES = 4
+
+
+def _train(docs: DataFrame, learn: Column | None, per_shard: int) -> tuple[Model, DataFrame]:
     spark = docs.sparkSession
-    parts = partitions(spark)
-    shards = min(parts, most_shards)
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shards = max(partitions(spark), -(-size // (TOKEN_BYTES * per_shard)))
     folder = new_folder(spark, "trie")
     used = F.coalesce(learn, F.lit(False)) if learn is not None else F.lit(True)
     rows = text_of(docs, F.col("doc_id").cast("long").alias("doc_id"), used.alias("learn")).select("doc_id", "text", "learn")
@@ -515,14 +510,8 @@ def _train(docs: DataFrame, learn: Column | None, least: int, most_shards: int)
     def by_first(keys: np.ndarray) -> np.ndarray:
         return np.searchsorted(bounds, (keys // U(types)).astype(np.int64), side="right") - 1
 
-    def by_hash(keys: np.ndarray) -> np.ndarray:
-        return (mixed(keys) % U(parts)).astype(np.int64)
-
     def counted(run, target: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-        if least <= 1:
-            return ids.where("learn").mapInArrow(run(model, target, shards), DEALT)
-        found = ids.where("learn").mapInArrow(run(model, by_hash, parts), DEALT).repartitionById(parts, F.col("target"))
-        return found.mapInArrow(_frequent(least, target, shards), DEALT)
+        return ids.where("learn").mapInArrow(run(model, target, shards), DEALT)
 
     sizes = built(counted(_pairs, by_first), _save_pairs(model), "pairs", model)
     model = Model(folder, shards, model.offsets, model.tokens, offsets(sizes), max(1, *(w for _, _, w in sizes)))
@@ -585,16 +574,14 @@ def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
 
 
-def score_held_out(docs: DataFrame, folds: int = 7, fold: int = 2, least: int = 2) -> DataFrame:
+def score_held_out(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     """Learns from the documents that aren't held out and scores all: SCORES' columns, held_out and train_tokens.
 
-    least: bigrams and trigrams seen less often in training are left to the shorter context; 1 keeps all.
-
     Tokens: runs of characters other than ASCII blanks, A-Z lower-cased, then one end. Null text: empty, which is the
     end alone. Null doc_id: by the fold of the empty text. Repeated rows: count and are scored each. Empty table: no
     rows; nothing to learn from: single words alone, all unknown. Other columns are not read.
     """
-    model, ids = train(docs, ~held_out(F.col("doc_id"), folds, fold), least)
+    model, ids = train(docs, ~held_out(F.col("doc_id"), folds, fold))
     return score(ids, model).select(
         "doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )

@@ -34,8 +34,7 @@ def brute(rows):
             one.update(w[1:])
             two.update(zip(w, w[1:], strict=False))
             three.update(zip(w, w[1:], w[2:], strict=False))
-    two_kept = {k: c for k, c in two.items() if c >= 2}
-    three_kept = {k: c for k, c in three.items() if c >= 2}
+    two_kept, three_kept = two, three
     total, types = one.total(), len(one)
     rest2, rest3 = Counter(), Counter()
     for (u, _), c in two_kept.items():
