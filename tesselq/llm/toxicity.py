@@ -8,10 +8,10 @@ from collections.abc import Collection, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS_ONLY, rows_of, text_of
+from .common import WORDS_ONLY, rows_of, text_of, written
 
 #: Buckets of words and of their beginnings; the last 64 are those of a text's size.
 BUCKETS = 1 << 18
@@ -47,7 +47,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             each = [word_buckets(w) for w in words]
             found.append(np.array([x for w in each for x in w] + [size_bucket(words)], "<u4").tobytes())
             sizes.append(bytes(map(len, each)))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary()), pa.array(sizes, pa.binary())], ["kind", "inner", "features", "sizes"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.binary()), pa.array(sizes, pa.binary())], ["kind", "inner", "chance", "features", "sizes"])
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -125,9 +125,11 @@ def fit_chosen(toxic: list[tuple], plain: list[tuple], clean: list[tuple], prior
     return fit([f for _, f, _ in toxic], [f for _, f, _ in plain], prior, ROUNDS, decay=decay)
 
 
-def learn(docs: DataFrame, labels: DataFrame, training: Column, most_positive: int = 3000, most_unlabelled: int = 9000, most_clean: int = 1000) -> np.ndarray:
+def learn(docs: DataFrame, labels: DataFrame, training: Column, most_positive: int = 3000, most_unlabelled: int = 9000, most_clean: int = 1000, most_features: int = 8_000_000) -> np.ndarray:
     """Weights from at most so many confirmed toxic documents and so many unlabelled ones, those of the least hashes.
-    The decay is chosen on an inner fold, with at most most_clean of its documents labelled clean.
+    The decay is chosen on an inner fold, with at most most_clean of its documents labelled clean. Each of the three
+    kinds has at most most_features features in all, so that what the driver gathers is bounded whatever the texts' length:
+    the documents of a kind are taken in the order of their hashes as long as their features fit.
 
     The class prior is the share of toxic ones among the training labels. training: a condition on doc_id.
     """
@@ -142,7 +144,13 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, most_positive: i
     clean = known.where((F.col("toxic") == 0) & inner).select("doc_id").distinct().orderBy(chance, "doc_id").limit(most_clean)
     # at most most_positive + most_unlabelled + most_clean ids
     picked = F.broadcast(toxic.select("doc_id", F.lit(1).alias("kind")).union(plain.select("doc_id", F.lit(0))).union(clean.select("doc_id", F.lit(2))))
-    found = text_of(rows.join(picked, "doc_id"), "kind", inner.alias("inner")).mapInArrow(_features, "kind int, inner boolean, features binary, sizes binary").collect()
+    sampled = text_of(rows.join(picked, "doc_id"), "kind", inner.alias("inner"), chance.alias("chance"))
+    sampled = written(sampled.mapInArrow(_features, "kind int, inner boolean, chance long, features binary, sizes binary"), "sample")
+    # a number for each sampled document
+    sizes = sampled.select("kind", "chance", (F.octet_length("features") / 4).alias("n"))
+    upto = sizes.withColumn("upto", F.sum("n").over(Window.partitionBy("kind").orderBy("chance")))
+    fit_in = upto.where(F.col("upto") <= most_features).groupBy("kind").agg(F.max("chance").alias("last"))
+    found = sampled.join(F.broadcast(fit_in), "kind").where("chance <= last").collect()
     parts: list[list[tuple]] = [[], [], []]
     for r in sorted(found, key=lambda r: (r.kind, r.features)):
         parts[r.kind].append((r.inner, np.frombuffer(r.features, "<u4").astype(np.int64), bytes(r.sizes)))
