@@ -110,7 +110,7 @@ class Finder:
                 lo, hi = max(0, start - e - 1), start + len(p) + e + 2
                 own = windows[i]
                 if own and lo <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], hi)
+                    own[-1] = [min(own[-1][0], lo), max(own[-1][1], hi)]
                 else:
                     own.append([lo, hi])
         out = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -13,8 +14,11 @@ from pyspark.sql import functions as F
 
 from .common import fresh, rows_of, text_of, written
 
-BUCKETS = 10_000
+#: Buckets of each kind of n-gram: words, pairs of words, runs of two shapes, runs of three.
+EACH = 10_000
+BUCKETS = 4 * EACH
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
+ADDED = ("log_weight", "sample_key", "kept")
 #: Shapes of tokens; a token that repeats the one before it has shape SAME.
 LOWER, TITLE, UPPER, DIGITS, MIXED, SAME, MARKS = 0, 1, 2, 3, 4, 5, 6
 
@@ -37,17 +41,18 @@ class Tokens(dict):
         return x
 
     def grams(self, text: str) -> np.ndarray:
-        """Buckets of the tokens and of the runs of two and three shapes."""
+        """Buckets of the tokens, of pairs of tokens, and of runs of two and three shapes."""
         tokens = TOKEN.findall(text.encode())
         x = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
         if not len(x):
             return x
         shape = x & 255
-        words = x % BUCKETS
+        word = x >> 8
         shape[1:][(x[1:] == x[:-1])] = SAME
-        two = (shape[:-1] * 64 + shape[1:] + 77_777) * 2_654_435_761 % 1_000_003 % BUCKETS
-        three = ((shape[:-2] * 64 + shape[1:-1]) * 64 + shape[2:] + 999_331) * 2_654_435_761 % 1_000_003 % BUCKETS
-        return np.concatenate([words, two, three])
+        pairs = (word[:-1] * 1_000_003 + word[1:]) % 2_147_483_647 % EACH
+        two = (shape[:-1] * 64 + shape[1:] + 77_777) * 2_654_435_761 % 1_000_003 % EACH
+        three = ((shape[:-2] * 64 + shape[1:-1]) * 64 + shape[2:] + 999_331) * 2_654_435_761 % 1_000_003 % EACH
+        return np.concatenate([word % EACH, pairs + EACH, two + 2 * EACH, three + 3 * EACH])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,48 +109,51 @@ def gumbel(doc_id: Column, text: Column, seed: int) -> Column:
 
 
 def kth_largest(keys: DataFrame, k: int) -> float | None:
-    """The k-th largest of keys(key double, no nulls): each round counts 4096 ranges of what is left, all distributed."""
+    """The k-th largest of keys(key double, no nulls): each round counts 4096 ranges of what is left, all distributed.
+
+    Where a range is too narrow for that, it has some thousands of different doubles at most, which are counted each.
+    """
     lo, hi, n = keys.agg(F.min("key"), F.max("key"), F.count("*")).first()
     if k <= 0 or n == 0:
         return None
     if k >= n:
         return lo
-    for _ in range(12):
-        if lo >= hi:
-            break
-        width = (hi - lo) / 4096
-        if width == 0 or lo + width == lo:
-            break
-        at = F.least(F.lit(4095), F.floor((F.col("key") - lo) / width)).cast("int")
+    while lo < hi:
         inside = keys.where((F.col("key") >= lo) & (F.col("key") <= hi))
-        for at_, count, least, most in inside.groupBy(at.alias("at")).agg(F.count("*"), F.min("key"), F.max("key")).orderBy(F.desc("at")).collect():
+        # halves, as the difference of two doubles can be too large for one
+        width = hi / 4096 - lo / 4096
+        fine = width <= 4 * math.ulp(max(abs(lo), abs(hi)))
+        at = F.col("key") if fine else F.least(F.lit(4095), F.floor((F.col("key") / 2 - lo / 2) / (width / 2))).cast("int")
+        for _, count, least, most in inside.groupBy(at.alias("at")).agg(F.count("*"), F.min("key"), F.max("key")).orderBy(F.desc("at")).collect():
             if count >= k:
                 lo, hi = least, most
-                if k == 1:
-                    lo = most
                 break
             k -= count
     return lo
 
 
+def weighed(docs: DataFrame, labels: DataFrame, keep: list[str], share: float | None = None, margin: float = 0.01, seed: int = 11) -> DataFrame:
+    """As resample, but with the columns `keep` of docs alone; its texts are read twice, for the models and for the weights."""
+    ratios, good = models(docs, labels)
+    text = F.coalesce("text", F.lit(""))
+    noise = gumbel(F.col("doc_id").cast("long"), text, seed)
+    keep = [c for c in keep if c.lower() not in ADDED]
+    rows = docs.select(*keep, log_weight(ratios, text).alias("log_weight"), noise.alias("sample_key"))
+    rows = written(rows.withColumn("sample_key", F.col("log_weight") + F.col("sample_key")), "weighed")
+    limit = kth_largest(rows.select(F.col("sample_key").alias("key")), round(rows.count() * min(1.0, good + margin if share is None else share)))
+    return rows.withColumn("kept", F.col("sample_key") >= F.lit(limit) if limit is not None else F.lit(False))
+
+
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, margin: float = 0.01, seed: int = 11) -> DataFrame:
-    """docs with the columns log_weight, sample_key and kept added (replacing such columns).
+    """docs with the columns log_weight, sample_key and kept added (replacing such columns, in any case).
 
     A document's weight is the ratio of its probability under a hashed n-gram model of the target text (labelled good)
     to that under one of all text. Sampling without replacement by these weights is the top k of log weight + Gumbel
     noise, k being `share` of the documents, by default the share of good ones among the labelled and `margin` more, since
-    very short texts weigh little either way. Documents that tie
-    with the k-th stay. n-grams are the tokens, and runs of two and three token shapes (case, digits, marks, repeats).
+    very short texts weigh little either way. Documents that tie with the k-th stay. n-grams are the tokens, pairs of
+    tokens, and runs of two and three token shapes (case, digits, marks, repeats).
 
     Null text: empty, weight 1. Null doc_id or label: not labelled. Repeated rows: the same key, so they stay or go
     together. Empty table: no rows. Labels without a good document: all weights are 1. Other columns stay.
     """
-    ratios, good = models(docs, labels)
-    text = F.coalesce("text", F.lit(""))
-    weight = log_weight(ratios, text)
-    noise = gumbel(F.col("doc_id").cast("long"), text, seed)
-    base = docs.drop("log_weight", "sample_key", "kept")
-    keys = written(base.select((weight + noise).alias("key")), "sample-keys")
-    limit = kth_largest(keys, round(keys.count() * min(1.0, good + margin if share is None else share)))
-    out = base.withColumn("log_weight", weight).withColumn("sample_key", F.col("log_weight") + noise)
-    return out.withColumn("kept", F.col("sample_key") >= F.lit(limit) if limit is not None else F.lit(False))
+    return weighed(docs, labels, docs.columns, share, margin, seed)

@@ -29,8 +29,7 @@ def op2_fingerprints(spark, sf_dir):
 
 
 def op3_quality(spark, sf_dir):
-    out = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "log_weight", "sample_key", "kept")
+    return quality.weighed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
 def op4_mixing(spark, sf_dir):
@@ -38,7 +37,7 @@ def op4_mixing(spark, sf_dir):
 
 
 def op5_licenses(spark, sf_dir):
-    return licenses.find_notices(table(spark, sf_dir, "documents")).drop("spans")
+    return licenses.find_notices(table(spark, sf_dir, "documents"))
 
 
 def op6_urls(spark, sf_dir):
@@ -50,7 +49,7 @@ def op7_exact_dedup(spark, sf_dir):
 
 
 def op8_lm_scoring(spark, sf_dir):
-    return lm.score_held_out(table(spark, sf_dir, "documents"), least=1)
+    return lm.score_held_out(table(spark, sf_dir, "documents"))
 
 
 def op9_toxicity(spark, sf_dir):
