@@ -10,19 +10,27 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, fresh, ngram_hashes, partitions, rows_of, text_of, written
+from .common import LOWER, WordHashes, fresh, ngram_hashes, one_of_each, partitions, row_key, rows_of, text_of, written
 from .components import connected_components
 
 #: n-gram hashes that a task gathers before it deals them out.
 BLOCK = 1_000_000
-SALTS = 16
+#: Documents in a block at most, and blocks of a task: parts of a row's number.
+BLOCK_ROWS, TASK_BLOCKS = 1 << 20, 1 << 16
+#: An n-gram that so many of a block's documents have is dealt out once for all of them, with their number.
+HEAVY = 4
+#: Salts of a meeting place at least, and documents under one salt at most, by the n-gram's count.
+SALTS, SALTED = 16, 4096
+#: 64-bit words of a signature.
+SIGNATURE = 32
 DEALT = "target int, block long, docs binary, counts binary, hashes binary, info binary"
 DEALT_ARROW = pa.schema([("target", pa.int32()), ("block", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("info", pa.binary())])
 INFO = np.dtype([("doc_id", "<i8"), ("mark", "<i8"), ("known", "<u1"), ("n", "<u4"), ("high", "<i8"), ("low", "<i8")])
 SHARED = "target int, block long, docs binary, counts binary, hashes binary, often binary, info binary"
 SHARED_ARROW = pa.schema([("target", pa.int32()), ("block", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("often", pa.binary()), ("info", pa.binary())])
-PROFILE = "doc_id long, mark long, row long, n long, prefix int, high long, low long, central long, shared array<long>"
-PROFILE_ARROW = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("prefix", pa.int32()), ("high", pa.int64()), ("low", pa.int64()), ("central", pa.int64()), ("shared", pa.list_(pa.int64()))])
+PROFILE = "doc_id long, mark long, row long, n long, prefix int, high long, low long, central long, most long, shared array<long>"
+PROFILE_ARROW = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("prefix", pa.int32()), ("high", pa.int64()), ("low", pa.int64()), ("central", pa.int64()), ("most", pa.int64()), ("shared", pa.list_(pa.int64()))])
+SIGNED = "node long, n long, have int, signature array<long>"
 
 
 def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -31,30 +39,54 @@ def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(sorted_)))
 
 
+def _home(block: int, shards: int) -> int:
+    """The partition where a block's parts meet again; blocks of all tasks are spread evenly."""
+    return (block ^ block // TASK_BLOCKS) % shards
+
+
 def _deal(shards: int, size: int):
-    """Texts to n-gram sets, dealt to shards by hash: for each block of documents and shard one record."""
+    """Texts to n-gram sets, dealt to shards by hash: for each block of documents and shard one record.
+
+    An n-gram that HEAVY of the block's documents have goes to its shard as one number; who has it goes to the block's home
+    at once. So an n-gram of all documents makes one entry a block, not one a document.
+    """
 
     def flush(block: int, sets: list[np.ndarray], info: list[tuple]) -> pa.RecordBatch:
         hashes = np.concatenate([*sets, np.zeros(0, np.uint64)])
         docs = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
-        shard = ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.uint16 if shards < 65536 else np.uint32)
+        order = np.argsort(hashes)
+        starts, times = _runs(hashes[order])
+        heavy = np.empty(len(hashes), bool)
+        heavy[order] = np.repeat(times >= HEAVY, times)
+        often, times = hashes[order][starts[times >= HEAVY]], times[times >= HEAVY].astype("<u4")
+
+        def shard_of(x: np.ndarray) -> np.ndarray:
+            return ((x >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.uint16 if shards < 65536 else np.uint32)
+
+        known, with_them = _runs(docs[heavy])
+        out = [(_home(block, shards), block, docs[heavy][known].tobytes(), with_them.astype("<u4").tobytes(), hashes[heavy].tobytes(), np.array(info, INFO).tobytes())]
+        hashes, docs = hashes[~heavy], docs[~heavy]
+        shard = shard_of(hashes)
         order = np.argsort(shard, kind="stable")
         hashes, docs = hashes[order], docs[order]
-        cuts = np.searchsorted(shard[order], np.arange(shards + 1)).tolist()
-        out = []
-        for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        edges = np.arange(shards + 1)
+        cuts, marks = np.searchsorted(shard[order], edges).tolist(), np.searchsorted(shard_of(often), edges).tolist()
+        for s in range(shards):
+            a, b = cuts[s : s + 2]
             if a < b:
                 starts, counts = _runs(docs[a:b])
                 out.append((s, block, docs[a:b][starts].tobytes(), counts.astype("<u4").tobytes(), hashes[a:b].tobytes(), None))
-        out.append((block % shards, block, None, None, None, np.array(info, INFO).tobytes()))
+            a, b = marks[s : s + 2]
+            if a < b:
+                out.append((s, block, None, times[a:b].tobytes(), often[a:b].tobytes(), None))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), DEALT_ARROW, strict=True)], schema=DEALT_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         fresh()
-        block, words = TaskContext.get().partitionId() << 12, WordHashes()
-        sets, info, held = [], [], 0
+        first, words = TaskContext.get().partitionId() * TASK_BLOCKS, WordHashes()
+        block, sets, info, held = first, [], [], 0
         for b in batches:
             for doc_id, mark, text in rows_of(b):
                 found = np.unique(ngram_hashes(words.of(text.encode().translate(LOWER).split()), size))
@@ -62,9 +94,11 @@ def _deal(shards: int, size: int):
                 sets.append(found)
                 info.append((doc_id or 0, mark, doc_id is not None, len(found), high - (1 << 63), low - (1 << 63)))
                 held += len(found)
-                if held >= BLOCK:
+                if held >= BLOCK or len(sets) >= BLOCK_ROWS:
                     yield flush(block, sets, info)
                     block, sets, info, held = block + 1, [], [], 0
+                    if block - first >= TASK_BLOCKS:
+                        raise ValueError(f"a partition has over {TASK_BLOCKS} blocks of n-grams; read it in more partitions")
         if sets:
             yield flush(block, sets, info)
 
@@ -76,24 +110,25 @@ def _count(shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh()
-        blocks, hashes, owners, passed = [], [], [], []
+        records, hashes, owners, numbers, out = [], [], [], [], []
         for batch in batches:
             for r in batch.to_pylist():
                 if r["info"] is not None:
-                    passed.append((r["block"] % shards, r["block"], None, None, None, None, r["info"]))
+                    out.append((_home(r["block"], shards), r["block"], r["docs"], r["counts"], r["hashes"], None, r["info"]))
                     continue
-                docs = np.frombuffer(r["docs"], "<u4").astype(np.uint64) | np.uint64(len(blocks) << 32)
-                blocks.append(r["block"])
-                owners.append(np.repeat(docs, np.frombuffer(r["counts"], "<u4")))
-                hashes.append(np.frombuffer(r["hashes"], "<u8"))
-        out = passed
+                found, counts, at = np.frombuffer(r["hashes"], "<u8"), np.frombuffer(r["counts"], "<u4"), np.uint64(len(records) << 32)
+                one_each = r["docs"] is not None
+                records.append((r["block"], one_each))
+                owners.append(np.repeat(np.frombuffer(r["docs"], "<u4").astype(np.uint64) | at, counts) if one_each else np.full(len(found), at))
+                numbers.append(np.ones(len(found), "<u4") if one_each else counts)
+                hashes.append(found)
         if hashes:
-            every, owner = np.concatenate(hashes), np.concatenate(owners)
-            del hashes, owners
+            every, owner, number = np.concatenate(hashes), np.concatenate(owners), np.concatenate(numbers)
+            del hashes, owners, numbers
             order = np.argsort(every)
-            every, owner = every[order], owner[order]
-            _, lengths = _runs(every)
-            often = np.repeat(lengths, lengths)
+            every, owner, number = every[order], owner[order], number[order]
+            starts, lengths = _runs(every)
+            often = np.repeat(np.add.reduceat(number, starts, dtype=np.int64), lengths)
             keep = often >= 2
             every, owner, often = every[keep], owner[keep], np.minimum(often[keep], (1 << 32) - 1).astype("<u4")
             order = np.argsort(owner, kind="stable")
@@ -101,10 +136,13 @@ def _count(shards: int):
             record = (owner >> np.uint64(32)).astype(np.int64)
             starts, lengths = _runs(record)
             for a, n in zip(starts.tolist(), lengths.tolist(), strict=True):
-                docs = (owner[a : a + n] & np.uint64(0xFFFFFFFF)).astype("<u4")
-                first, counts = _runs(docs)
-                block = blocks[int(record[a])]
-                out.append((block % shards, block, docs[first].tobytes(), counts.astype("<u4").tobytes(), every[a : a + n].tobytes(), often[a : a + n].tobytes(), None))
+                block, one_each = records[int(record[a])]
+                docs = counts = None
+                if one_each:
+                    own = (owner[a : a + n] & np.uint64(0xFFFFFFFF)).astype("<u4")
+                    first, times = _runs(own)
+                    docs, counts = own[first].tobytes(), times.astype("<u4").tobytes()
+                out.append((_home(block, shards), block, docs, counts, every[a : a + n].tobytes(), often[a : a + n].tobytes(), None))
         for i in range(0, len(out), 200):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 200], strict=True), SHARED_ARROW, strict=True)], schema=SHARED_ARROW)
 
@@ -117,16 +155,23 @@ def _profiles(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh()
         blocks: dict[int, list] = {}
-        infos: dict[int, bytes] = {}
+        heavy: dict[int, list] = {}
+        infos: dict[int, tuple] = {}
         for batch in batches:
             for r in batch.to_pylist():
                 if r["info"] is not None:
-                    infos[r["block"]] = r["info"]
-                else:
+                    infos[r["block"]] = (r["info"], r["docs"], r["counts"], r["hashes"])
+                elif r["docs"] is not None:
                     blocks.setdefault(r["block"], []).append((r["docs"], r["counts"], r["hashes"], r["often"]))
-        for block, packed in infos.items():
+                else:
+                    heavy.setdefault(r["block"], []).append((r["hashes"], r["often"]))
+        for block, (packed, *shared) in infos.items():
             info = np.frombuffer(packed, INFO)
             parts = blocks.pop(block, [])
+            if told := heavy.pop(block, []):
+                keys, numbers = np.concatenate([np.frombuffer(h, "<u8") for h, _ in told]), np.concatenate([np.frombuffer(o, "<u4") for _, o in told])
+                order = np.argsort(keys)
+                parts.append((*shared, numbers[order][np.searchsorted(keys[order], np.frombuffer(shared[2], "<u8"))].tobytes()))
             docs = np.concatenate([np.repeat(np.frombuffer(d, "<u4"), np.frombuffer(c, "<u4")) for d, c, _, _ in parts] + [np.zeros(0, "<u4")]).astype(np.int64)
             hashes = np.concatenate([np.frombuffer(h, "<u8") for _, _, h, _ in parts] + [np.zeros(0, "<u8")])
             often = np.concatenate([np.frombuffer(o, "<u4") for *_, o in parts] + [np.zeros(0, "<u4")])
@@ -138,17 +183,20 @@ def _profiles(num: int, den: int):
             docs, hashes, often = docs[use], hashes[use], often[use]
             order = np.lexsort((hashes, often, docs))
             sizes = np.where(linkable, have, 0)
+            ends = np.append(0, np.cumsum(sizes))
+            last = np.where(linkable, ends[:-1] + prefix - 1, 0)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(info["doc_id"], pa.int64(), mask=info["known"] == 0),
                     pa.array(info["mark"], pa.int64()),
-                    pa.array((block << 24) + np.arange(len(info)), pa.int64()),
+                    pa.array(block * BLOCK_ROWS + np.arange(len(info)), pa.int64()),
                     pa.array(n, pa.int64()),
                     pa.array(np.where(linkable, prefix, 0), pa.int32()),
                     pa.array(info["high"], pa.int64()),
                     pa.array(info["low"], pa.int64()),
                     pa.array((1000 * np.bincount(docs, often, len(info)) / np.maximum(n, 1)).astype(np.int64), pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(hashes[order].view("<i8"), pa.int64())),
+                    pa.array(np.where(linkable, np.append(often[order], 0)[last], 0).astype(np.int64), pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes[order].view("<i8"), pa.int64())),
                 ],
                 schema=PROFILE_ARROW,
             )
@@ -156,6 +204,22 @@ def _profiles(num: int, den: int):
     return run
 
 
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, n, shared) to SIGNED: bit i of a signature is the parity of the n-grams whose hash ends in i."""
+    for b in batches:
+        sets = b.column(2)
+        sizes = sets.value_lengths().to_numpy()
+        hashes = sets.flatten().to_numpy().view(np.uint64)
+        place = np.repeat(np.arange(b.num_rows) * SIGNATURE, sizes) + (hashes >> np.uint64(6) & np.uint64(SIGNATURE - 1)).astype(np.int64)
+        order = np.argsort(place)
+        starts, _ = _runs(place[order])
+        words = np.zeros(b.num_rows * SIGNATURE, np.uint64)
+        if len(starts):
+            words[place[order][starts]] = np.bitwise_xor.reduceat((np.uint64(1) << (hashes & np.uint64(63)))[order], starts)
+        signatures = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * SIGNATURE, pa.int32()), pa.array(words.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), signatures], names=["node", "n", "have", "signature"])
+
+
 def profiles(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """A written table with PROFILE's columns: one row for each row of docs."""
     shards = partitions(docs.sparkSession)
@@ -173,8 +237,12 @@ def _sizes_fit(a: Column, b: Column, num: int, den: int) -> Column:
 
 
 def _stars(rows: DataFrame, first: list[str], *key: str) -> DataFrame:
-    """(a, b) from the node of each key that is largest by the columns `first` to its others, in two steps over salted keys."""
-    salted = rows.withColumns({"salt": F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(SALTS)), "rank": F.struct(*first, "node")})
+    """(a, b) from the node of each key that is largest by the columns `first` to its others, in two steps over salted keys.
+
+    rows: key, node, most and first. Salts grow with `most`, the count of a node's commonest n-gram in its prefix.
+    """
+    salts = F.greatest(F.lit(SALTS), F.ceil(F.col("most") / SALTED))
+    salted = rows.withColumns({"salt": F.pmod(F.xxhash64(F.lit(1), "node"), salts), "rank": F.struct(*first, "node")})
     near = salted.withColumn("head", F.max("rank").over(Window.partitionBy(*key, "salt")))
     heads = near.where(F.col("node") == F.col("head.node")).withColumn("top", F.max("rank").over(Window.partitionBy(*key)))
     return near.where(F.col("node") != F.col("head.node")).select(F.col("head.node").alias("a"), F.col("node").alias("b")).union(
@@ -206,30 +274,52 @@ def _still_apart(members: DataFrame, leaders: DataFrame, places: DataFrame, root
     return where, spread.where("low_root <> high_root").select("group"), written(met.join(grams, "gram", "left_semi"), "apart")
 
 
-def _inside(where: DataFrame) -> DataFrame:
-    """(a, b) of one group and two components."""
-    one, two = where.select(F.col("node").alias("a"), "group", F.col("root").alias("root_a")), where.select(F.col("node").alias("b"), "group", F.col("root").alias("root_b"))
-    return one.join(two, "group").where("a < b AND root_a <> root_b").select("a", "b")
+def _may_link(num: int, den: int) -> Column:
+    """Whether two sets, signed with suffixes _a and _b, can have the overlap that a link needs, by their signatures.
+
+    Each bit in which the signatures differ takes an n-gram that only one of the sets has, so the common ones are half of
+    what is left at most. N-grams that nobody else has are in no signature.
+    """
+    bits = F.zip_with("signature_a", "signature_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(bits, F.lit(0), lambda total, x: total + x)
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    return _sizes_fit(n_a, n_b, num, den) & (F.col("have_a") + F.col("have_b") - apart >= 2 * _least(n_a, n_b, num, den))
+
+
+def _least(n_a: Column, n_b: Column, num: int, den: int) -> Column:
+    """The overlap that a link of two sets takes."""
+    return F.ceil(num * (n_a + n_b) / (num + den))
+
+
+def _sided(df: DataFrame, side: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(f"{c}_{side}") for c in df.columns))
+
+
+def _inside(where: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of one group and two components. where: group, root and SIGNED."""
+    one, two = _sided(where, "a"), _sided(where, "b")
+    met = (F.col("group_a") == F.col("group_b")) & F.expr("node_a < node_b AND root_a <> root_b")
+    return one.join(two, met & _may_link(num, den)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def _across(apart: DataFrame, where: DataFrame, num: int, den: int, again: bool) -> DataFrame:
-    """(a, b) of two components and of two groups that meet, as far as sizes and places in the prefixes allow a link.
+    """(a, b) of two components and of two groups that meet, as far as sizes, places in the prefixes and signatures allow a link.
 
+    apart: gram, at, low_root, high_root, size and SIGNED; where: group, root and SIGNED. A leader's signature holds
+    for a group of one member; pairs with larger groups are judged by their members' as they are expanded.
     again: pairs of groups of one member each were compared before.
     """
-    columns = ("node", "n", "at", "have", "low_root", "high_root", "size")
-    one = apart.select("gram", *(F.col(c).alias(f"{c}_a") for c in columns))
-    two = apart.select("gram", *(F.col(c).alias(f"{c}_b") for c in columns))
-    n_a, n_b = F.col("n_a"), F.col("n_b")
+    one, two = _sided(apart, "a"), _sided(apart, "b")
     # at the first n-gram that both have, the common ones are all still to come: in either set there must be as many left
-    least = F.ceil(num * (n_a + n_b) / (num + den))
+    least = _least(F.col("n_a"), F.col("n_b"), num, den)
     enough = (F.col("have_a") - F.col("at_a") >= least) & (F.col("have_b") - F.col("at_b") >= least)
     two_roots = (F.col("low_root_a") != F.col("low_root_b")) | (F.col("low_root_a") != F.col("high_root_a")) | (F.col("low_root_b") != F.col("high_root_b"))
-    new = ((F.col("size_a") > 1) | (F.col("size_b") > 1)) if again else F.lit(True)
-    met = one.join(two, "gram").where(new & (F.col("node_a") < F.col("node_b")) & two_roots & _sizes_fit(n_a, n_b, num, den) & enough).select("node_a", "node_b").distinct()
-    left = where.select(F.col("node").alias("a"), F.col("group").alias("node_a"), F.col("root").alias("root_a"))
-    right = where.select(F.col("node").alias("b"), F.col("group").alias("node_b"), F.col("root").alias("root_b"))
-    return met.join(left, "node_a").join(right, "node_b").where("root_a <> root_b").select("a", "b")
+    several = (F.col("size_a") > 1) | (F.col("size_b") > 1)
+    fit = several & _sizes_fit(F.col("n_a"), F.col("n_b"), num, den) if again else several & _sizes_fit(F.col("n_a"), F.col("n_b"), num, den) | _may_link(num, den)
+    met = one.join(two, (F.col("gram_a") == F.col("gram_b")) & (F.col("node_a") < F.col("node_b")) & two_roots & enough & fit)
+    met = met.select(F.col("node_a").alias("group_a"), F.col("node_b").alias("group_b")).distinct()
+    found = met.join(_sided(where, "a"), "group_a").join(_sided(where, "b").withColumnRenamed("group_b", "other"), (F.col("group_b") == F.col("other")) & F.expr("root_a <> root_b") & _may_link(num, den))
+    return found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def _merged(roots: DataFrame, more: DataFrame) -> DataFrame:
@@ -249,31 +339,36 @@ def links(found: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     place links its most central node, and the one of the largest group, to the others. Central is the mean number of
     documents that have a node's n-grams: of copies with different edits, the one that the others resemble most has
     the highest. What is linked by then needs no further look, so that of the pairs of
-    groups that meet only those in different components are left, as far as sizes and places in the prefixes allow the
-    overlap. These are compared by one member of each component in each group, and, where components are still apart,
-    expanded to all their members of different components.
+    groups that meet only those in different components are left, as far as sizes, places in the prefixes and signatures
+    allow the overlap. These are compared by one member of each component in each group, and, where components are still
+    apart, expanded to all their members of different components. The join tests signatures as it meets a pair, so
+    that most near misses never become rows; their tests still grow with the product of the components' sizes.
     """
     able = found.where("prefix > 0")
     classes = written(able.groupBy("high", "low", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id")), "classes")
     sets = able.join(classes.select(F.col("node").alias("row")), "row", "left_semi")
     sets = sets.withColumn("same_prefix", F.xxhash64("n", F.slice("shared", 1, F.col("prefix"))))
-    sets = written(sets.select(F.col("row").alias("node"), "n", "prefix", "same_prefix", "central", "shared"), "sets")
-    members = sets.select("node", "n", "same_prefix", "central")
+    sets = written(sets.select(F.col("row").alias("node"), "n", "prefix", "same_prefix", "central", "most", "shared"), "sets")
+    members = sets.select("node", "n", "same_prefix", "central", "most")
     leaders = members.groupBy("same_prefix", "n").agg(F.min("node").alias("node"), F.count("*").alias("size"))
     places = sets.join(leaders.select("node", "size"), "node").select(
-        "node", "n", "central", "size", F.size("shared").alias("have"), F.posexplode(F.slice("shared", 1, F.col("prefix"))).alias("at", "gram")
+        "node", "central", "most", "size", F.posexplode(F.slice("shared", 1, F.col("prefix"))).alias("at", "gram")
     )
     places = written(places, "places")
     inside = _stars(members, ["central"], "same_prefix", "n")
-    between = [_stars(places.select("gram", "node", *first), first, "gram") for first in (["central"], ["size", "central"])]
+    between = [_stars(places.select("gram", "node", "most", *first), first, "gram") for first in (["central"], ["size", "central"])]
     linked, compared = _verified(inside.union(between[0]).union(between[1]), sets, num, den)
     roots = connected_components(sets.select("node"), linked)
-    members, leaders, places = members.drop("central"), leaders.drop("size"), places.drop("size", "central")
+    members, leaders, places = members.drop("central", "most"), leaders.drop("size"), places.drop("size", "central", "most")
     for look in ("one of each component", "all"):
         where, split, apart = _still_apart(members, leaders, places, roots)
         if look != "all":
             where = where.groupBy("group", "root").agg(F.min("node").alias("node")).select("node", "group", "root")
-        pairs = _inside(where.join(split, "group", "left_semi")).union(_across(apart, where, num, den, look == "all"))
+        meeting = apart.select(F.col("node").alias("group")).union(split).distinct()
+        where = written(where.join(meeting, "group", "left_semi"), "meeting")
+        signed = written(sets.join(where, "node", "left_semi").select("node", "n", "shared").mapInArrow(_signed, SIGNED), "signed")
+        where = where.join(signed, "node")
+        pairs = _inside(where.join(split, "group", "left_semi"), num, den).union(_across(apart.join(signed, "node"), where, num, den, look == "all"))
         linked, compared = _verified(pairs, sets, num, den, compared)
         roots = _merged(roots, linked)
     return classes, roots
@@ -311,9 +406,11 @@ def similar_documents(docs: DataFrame, size: int = 5, num: int = 75, den: int =
 
 
 def without_similar(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """docs, of each component the row that leads it, with all its columns; of rows alike in doc_id and text one."""
-    names = docs.columns
-    stay = similar_documents(docs, size, num, den).where("leads").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_own"))
-    marked = docs.withColumn("_mark", text_mark())
-    both = marked.join(stay, marked.doc_id.cast("long").eqNullSafe(stay._id) & (marked._mark == stay._own), "left_semi")
-    return both.dropDuplicates(["doc_id", "_mark"]).select(*names)
+    """docs, of each component the row that leads it, with all its columns; of rows alike in doc_id and text one.
+
+    Null or empty text: linked with nothing, so the row stays, but repeated (doc_id, text) rows are one; null counts as
+    empty. Null doc_id: leads only a component without any id. Ties: rows of one doc_id and text are the same to this
+    operator, and any one of them stays. Empty table: no rows. Other columns are kept, whatever their names.
+    """
+    stay = similar_documents(docs, size, num, den).where("leads").select(row_key(F.col("doc_id"), F.col("mark")).alias("key"))
+    return one_of_each(docs, row_key(F.col("doc_id"), text_mark()), stay)

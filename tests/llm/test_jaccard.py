@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tesselq.llm.components import connected_components
-from tesselq.llm.jaccard import similar_documents
+from tesselq.llm.jaccard import SIGNED, _may_link, _sided, _signed, similar_documents, without_similar
 
 DOCS = "doc_id long, text string, n long, row string, shared int"
 
@@ -74,6 +74,50 @@ def test_chain_of_links(spark):
     assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect()), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("tail", [0, 30])
+def test_near_misses_around_one_passage(spark, tail):
+    r = random.Random(tail)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        w = [f"t{i}-{k}" for k in range(r.randrange(tail + 1))] + base
+        for _ in range(r.choice([1, 2, 3, 4])):
+            w[r.randrange(len(w))] = f"e{r.randrange(90)}"
+        rows.append((i, " ".join(w)))
+    got = similar_documents(spark.createDataFrame([(*x, 1, "r", 2) for x in rows], DOCS).repartition(3))
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect()), key=str) == brute(rows)
+
+
+def test_signatures_keep_every_link(spark):
+    r = random.Random(4)
+    sets = []
+    for i in range(60):
+        some = r.sample(range(300), r.choice([5, 40, 200]))
+        sets.append((i, [(x * 0x9E3779B97F4A7C15 + 5) % (1 << 64) - (1 << 63) for x in some]))
+    rows = spark.createDataFrame([(i, len(s), s) for i, s in sets], "node long, n long, shared array<long>")
+    signed = rows.mapInArrow(_signed, SIGNED)
+    kept = {tuple(x) for x in _sided(signed, "a").join(_sided(signed, "b"), _may_link(75, 100)).select("node_a", "node_b").collect()}
+    for i, a in sets:
+        for j, b in sets:
+            common = len({*a} & {*b})
+            if 100 * common >= 75 * (len(a) + len(b) - common):
+                assert (i, j) in kept
+    assert len(kept) < 1200
+
+
+def test_one_document_of_each_component_stays(spark):
+    rows = [*made(5, 80), (7000, None), (7001, ""), (None, "a lonely text"), (7002, "again"), (7002, "again"), (7002, "other")]
+    rows = [(*x, 1, "r", 2) for x in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark long, OWN string, component_id int")
+    got = without_similar(docs)
+    assert got.columns == docs.columns
+    least = {x for *_, x in brute([x[:2] for x in rows])}
+    assert {x.doc_id for x in got.collect()} == least
+    assert {(x.mark, x.OWN, x.component_id) for x in got.collect()} == {(1, "r", 2)}
+    assert sum(x.doc_id == 7002 for x in got.collect()) == 2
+    assert without_similar(docs.limit(0)).collect() == []
+
+
 def test_empty_table(spark):
     assert similar_documents(spark.createDataFrame([], DOCS)).count() == 0
 
