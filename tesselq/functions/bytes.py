@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +51,16 @@ def adler_parts(numbers: Column) -> tuple[Column, Column]:
     return F.pmod(plain + 1, F.lit(ADLER)), F.pmod(n + n * plain - by_place, F.lit(ADLER))
 
 
+def adler32_of(binary: Column) -> Column:
+    """Adler-32 of a BINARY, from its own buffer; null of null."""
+
+    @F.arrow_udf("long")
+    def of(data: pa.Array) -> pa.Array:
+        return pa.array([zlib.adler32(x.as_buffer()) if x.is_valid else None for x in data], pa.int64())
+
+    return of(binary)
+
+
 def adler32(numbers: Column) -> Column:
     s1, s2 = adler_parts(numbers)
     return s2 * 65536 + s1
@@ -62,6 +76,23 @@ def reverse_bits(value: Column, n: Column) -> Column:
     return F.when(n > 0, F.conv(F.reverse(F.lpad(F.bin(value.cast("long")), n.cast("int"), F.lit("0"))), 2, 10).cast("long")).otherwise(0)
 
 
+def trigram_hashes_of(binary: Column) -> Column:
+    """The 15-bit hashes of a BINARY's runs of three bytes, as ARRAY<INT>; all rows of a batch in one pass."""
+
+    @F.arrow_udf("array<int>")
+    def of(data: pa.Array) -> pa.Array:
+        data = data.cast(pa.large_binary()).fill_null(b"")
+        ends = np.frombuffer(data.buffers()[1], np.int64, len(data) + 1, 8 * data.offset)
+        raw = np.frombuffer(data.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].astype(np.int32)
+        hashes = ((raw[:-2] << 10) ^ (raw[1:-1] << 5) ^ raw[2:]) & 0x7FFF
+        sizes = np.maximum(np.diff(ends) - 2, 0)
+        offsets = np.append(0, np.cumsum(sizes))
+        own = np.arange(offsets[-1]) + np.repeat(ends[:-1] - ends[0] - offsets[:-1], sizes)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes[own] if len(own) else np.zeros(0, np.int32), pa.int32()))
+
+    return of(binary)
+
+
 def trigram_hash(a: Column, b: Column, c: Column) -> Column:
     """The 15-bit hash of three bytes by which matches are looked up."""
     return F.shiftleft(a, 10).bitwiseXOR(F.shiftleft(b, 5)).bitwiseXOR(c).bitwiseAND(0x7FFF)

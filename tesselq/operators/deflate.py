@@ -34,10 +34,20 @@ LENGTHS, DISTANCES = _lookup(length_codes(), 258), _lookup(distance_codes(), 327
 
 
 def pack_bits(values: np.ndarray, widths: np.ndarray) -> bytes:
-    """Fields one after the other, lowest bit first; the last byte is filled with zeros."""
-    total = int(widths.sum())
-    starts = np.repeat(np.cumsum(widths) - widths, widths)
-    return np.packbits((np.repeat(values, widths) >> (np.arange(total) - starts)) & 1, bitorder="little").tobytes()
+    """Fields one after the other, lowest bit first; the last byte is filled with zeros.
+
+    A field is shifted to its place in its first byte and added to as many bytes as it reaches; fields don't overlap.
+    """
+    ends = np.cumsum(widths)
+    size = int(ends[-1] + 7) // 8 if len(widths) else 0
+    first, shifted = np.divmod(ends - widths, 8)
+    shifted = (values & ((np.int64(1) << widths) - 1)) << shifted
+    out = np.zeros(size, np.uint8)
+    for k in range(int(widths.max(initial=0) + 14) // 8):
+        part = (shifted >> 8 * k) & 255
+        own = part > 0
+        out += np.bincount(first[own] + k, part[own], size).astype(np.uint8)
+    return out.tobytes()
 
 
 def symbols(data: bytes, level: int) -> dict[str, np.ndarray]:
@@ -181,35 +191,54 @@ def deflated(streams: DataFrame, level: int = 6, kind: str = "auto") -> DataFram
 
 
 def inflated(streams: DataFrame) -> DataFrame:
-    """(stream_id, data) of zlib streams."""
+    """(stream_id, data) of zlib streams; a broken one has null data."""
+
+    def whole(data: bytes | None) -> bytes | None:
+        try:
+            return zlib.decompress(data or b"")
+        except zlib.error:
+            return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.decompress(d) for d in b.column(1).to_pylist()], pa.binary())], ["stream_id", "data"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([whole(d) for d in b.column(1).to_pylist()], pa.binary())], ["stream_id", "data"])
 
     return streams.select("stream_id", "data").mapInArrow(run, "stream_id long, data binary")
 
 
-def packed_bytes(fields: DataFrame) -> DataFrame:
+def packed_bytes(fields: DataFrame, span: Column | None = None) -> DataFrame:
     """(stream_id, at, value): bytes of fields(stream_id, seq, bits, width), lowest bit first.
 
-    A running sum gives each field's place; a field lands in up to nine bytes, whose parts are or-ed together.
+    A running sum gives each field's place, in two steps, by spans of seq and within one, so that a long stream is many
+    tasks; a field lands in up to nine bytes, whose parts are or-ed together. span: a number that never falls as seq rises;
+    4096 numbers of seq are one if none is given.
     """
-    order = Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    placed = fields.where("width > 0").withColumn("place", F.coalesce(F.sum("width").over(order), F.lit(0)))
+    ranged = fields.where("width > 0").withColumn("range", F.floor(F.col("seq") / 4096) if span is None else span)
+    sums = ranged.groupBy("stream_id", "range").agg(F.sum("width").alias("sum"))
+    before = sums.select("stream_id", "range", (F.sum("sum").over(Window.partitionBy("stream_id").orderBy("range")) - F.col("sum")).alias("before"))
+    within = F.sum("width").over(Window.partitionBy("stream_id", "range").orderBy("seq")) - F.col("width")
+    placed = ranged.join(before, ["stream_id", "range"]).withColumn("place", F.col("before") + within)
     spread = placed.select("stream_id", "bits", "place", F.explode(F.sequence(F.floor(F.col("place") / 8), F.floor((F.col("place") + F.col("width") - 1) / 8))).alias("at"))
     part = F.expr("(shiftright(shiftleft(cast(bits as bigint), cast(place % 8 as int)), cast(8 * (at - place div 8) as int))) & 255")
     return spread.groupBy("stream_id", "at").agg(F.bit_or(part).cast("int").alias("value"))
 
 
-def token_frequencies(tokens: DataFrame) -> DataFrame:
-    """(stream_id, alphabet, symbol, freq) of TOKENS rows, with one end symbol for each stream."""
-    from .huffman import first_code
+def token_frequencies(streams: DataFrame, level: int) -> DataFrame:
+    """(stream_id, alphabet, symbol, freq) of the parse of streams(stream_id, data), with one end symbol for each stream.
 
-    lit = tokens.select("stream_id", F.lit("literal").alias("alphabet"), F.when(F.col("is_literal"), F.col("literal")).otherwise(first_code(F.col("length"), length_codes())).alias("symbol"))
-    dist = tokens.where(~F.col("is_literal")).select("stream_id", F.lit("distance").alias("alphabet"), first_code(F.col("distance"), distance_codes()).alias("symbol"))
-    end = tokens.select("stream_id").distinct().select("stream_id", F.lit("literal").alias("alphabet"), F.lit(END).alias("symbol"))
-    return lit.union(dist).union(end).groupBy("stream_id", "alphabet", "symbol").agg(F.count("*").alias("freq"))
+    Symbols are counted where the stream is parsed: at most 316 rows a stream, whatever its length, and no shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for stream, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = symbols(data or b"", level)
+                lit, dist = (np.unique(s[c], return_counts=True) for c in ("symbol", "d_symbol"))
+                names = ["literal"] * len(lit[0]) + ["distance"] * len(dist[0])
+                columns = (np.full(len(names), stream), names, np.concatenate([lit[0], dist[0]]), np.concatenate([lit[1], dist[1]]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.int64()), strict=True)], ["stream_id", "alphabet", "symbol", "freq"])
+
+    return streams.select(F.col("stream_id").cast("long").alias("stream_id"), "data").mapInArrow(run, "stream_id long, alphabet string, symbol int, freq long")
 
 
 def fixed_block_bits(tokens: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the format.
 LEAST, MOST, FARTHEST = 3, 258, 32768
+#: Lengths up to this are found by sorting.
+SORTED = 8
 TOKENS = "stream_id long, seq int, pos int, is_literal boolean, literal int, distance int, length int"
 
 
@@ -23,8 +25,11 @@ def best_matches(data: bytes, chain: int) -> tuple[np.ndarray, np.ndarray]:
     """For each position the longest match (0: none) with one of the `chain` latest positions of its hash, the nearest of
     equally long ones, and its distance.
 
-    Whether a position was inside an earlier match doesn't matter, so all positions are searched side by side: one step
-    of the loop follows every position's chain by one link, and matches are extended eight bytes at a time.
+    Whether a position was inside an earlier match doesn't matter, so all positions are searched side by side. Sorting by
+    the next k bytes gives each position the latest earlier one that agrees in them; if any of the candidates agrees so
+    far, that one is a candidate too, as it is nearer and later in the chain. So for k up to SORTED no chain is followed:
+    the longest k with a candidate is the length. Only where all SORTED bytes agree are those candidates looked at one after
+    the other, and extended eight bytes at a time.
     """
     n = len(data)
     length, distance = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -32,19 +37,33 @@ def best_matches(data: bytes, chain: int) -> tuple[np.ndarray, np.ndarray]:
         return length, distance
     raw = np.frombuffer(data + b"\0" * (MOST + 16), np.uint8)
     eight = np.ndarray((n + MOST + 8,), "<u8", raw, strides=(1,))
-    d = raw[:n].astype(np.int64)
+    d = raw[:n].astype(np.uint16)
     hashes = ((d[:-2] << 10) ^ (d[1:-1] << 5) ^ d[2:]) & 0x7FFF
     order = np.argsort(hashes, kind="stable")
+    first = np.flatnonzero(np.append(True, hashes[order[1:]] != hashes[order[:-1]]))
+    turn = np.empty(n - 2, np.int64)  # a position's place in its chain
+    turn[order] = np.arange(n - 2) - np.repeat(first, np.diff(np.append(first, n - 2)))
+    at = np.arange(n - 2)
     before = np.full(n - 2, -1, np.int64)
-    same = hashes[order[1:]] == hashes[order[:-1]]
-    before[order[1:][same]] = order[:-1][same]
-    at, earlier = np.arange(n - 2), before.copy()
-    limit = np.minimum(MOST, n - at)
-    for _ in range(chain):
-        use = (earlier >= 0) & (at - earlier <= FARTHEST) & (length[at] < limit[at])
-        at, earlier = at[use], earlier[use]
+    for k in range(LEAST, SORTED + 1):
+        at = at[at + k <= n]
         if not len(at):
             break
+        key = eight[at] & np.uint64((1 << 8 * k) - 1)
+        order = np.argsort(key, kind="stable")
+        at, key = at[order], key[order]
+        same = np.append(False, key[1:] == key[:-1])
+        late, early = at[same], at[np.append(same[1:], False)]
+        fit = (late - early <= FARTHEST) & (turn[late] - turn[early] <= chain)
+        length[late[fit]], distance[late[fit]] = k, (late - early)[fit]
+        if k == SORTED:
+            before[late] = early
+        at = np.sort(at[same | np.append(same[1:], False)])
+    at = np.flatnonzero(length[: n - 2] == SORTED)
+    start, limit, earlier = turn[at], np.minimum(MOST, n - at), before[at]
+    while len(at):
+        use = (earlier >= 0) & (at - earlier <= FARTHEST) & (start - turn[earlier] <= chain) & (length[at] < limit)
+        at, start, limit, earlier = at[use], start[use], limit[use], earlier[use]
         # only a candidate that agrees up to one past the best so far can be longer
         hope = np.flatnonzero(raw[at + length[at]] == raw[earlier + length[at]])
         reach = np.zeros(len(at), np.int64)
@@ -57,8 +76,8 @@ def best_matches(data: bytes, chain: int) -> tuple[np.ndarray, np.ndarray]:
             hope = hope[~ended]
             k += 8
         reach[hope] = MOST
-        reach = np.minimum(reach, limit[at])
-        better = (reach > length[at]) & (reach >= LEAST)
+        reach = np.minimum(reach, limit)
+        better = reach > length[at]
         length[at[better]] = reach[better]
         distance[at[better]] = (at - earlier)[better]
         earlier = before[earlier]

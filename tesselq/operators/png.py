@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import replace
@@ -140,77 +141,127 @@ def parts(data: bytes) -> list[tuple[str, bytes, bool]]:
     return out
 
 
+#: Fixed values of the format: depths and channels by color type, and the passes of an interlaced image as first column and row, and steps.
+BIT_DEPTHS_READ = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 16)}
+CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def _samples(raw: np.ndarray, width: int, height: int, channels: int, depth: int) -> np.ndarray:
+    """The samples (height, width, channels) of filtered rows."""
+    rows = raw.reshape(height, -1)
+    if rows[:, 0].max() > 4:
+        raise ValueError("unknown filter")
+    plain = reconstruct(rows[:, 0], rows[:, 1:], max(1, channels * depth // 8))
+    if depth == 16:
+        return (plain[:, 0::2].astype(np.int32) * 256 + plain[:, 1::2]).reshape(height, width, channels)
+    if depth < 8:
+        bits = np.unpackbits(plain, axis=1).reshape(height, -1, depth)
+        plain = (bits @ (1 << np.arange(depth - 1, -1, -1)))[:, : width * channels]
+    return plain.reshape(height, width, channels).astype(np.int32)
+
+
 def decode_image(data: bytes) -> tuple[int, int, int, bytes]:
-    """(width, height, color type, pixels) of an 8-bit image without interlace; indexed ones come back as RGB."""
+    """(width, height, color type, pixels), eight bits a sample; of any depth, interlaced or not.
+
+    Indexed images come back as RGB. Gray with alpha, and any image with a transparency chunk, comes back as RGBA.
+    """
     found = parts(data)
+    if data[:8] != SIGNATURE or not found or found[0][0] != "IHDR" or len(found[0][1]) != 13:
+        raise ValueError("no PNG file")
     head = found[0][1]
     width, height, depth, color_type = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big"), head[8], head[9]
-    if depth != 8 or head[12] or color_type not in EACH:
-        raise ValueError("only 8-bit images without interlace are read")
-    raw = np.frombuffer(zlib.decompress(b"".join(d for k, d, _ in found if k == "IDAT")), np.uint8).reshape(height, -1)
-    pixels = reconstruct(raw[:, 0], raw[:, 1:], EACH[color_type])
+    if not all(whole for *_, whole in found):
+        raise ValueError("wrong checksum")
+    if depth not in BIT_DEPTHS_READ.get(color_type, ()) or not width or not height or head[12] > 1:
+        raise ValueError("wrong header")
+    raw = np.frombuffer(zlib.decompress(b"".join(d for k, d, _ in found if k == "IDAT")), np.uint8)
+    channels = CHANNELS[color_type]
+    full, at = np.zeros((height, width, channels), np.int32), 0
+    for x, y, dx, dy in PASSES if head[12] else ((0, 0, 1, 1),):
+        w, h = -(-(width - x) // dx), -(-(height - y) // dy)
+        if w > 0 and h > 0:
+            n = h * (1 + (w * channels * depth + 7) // 8)
+            full[y::dy, x::dx] = _samples(raw[at : at + n], w, h, channels, depth)
+            at += n
+    chunk = {k: d for k, d, _ in found}
+    clear = chunk.get("tRNS")
     if color_type == 3:
-        palette = np.frombuffer(next(d for k, d, _ in found if k == "PLTE"), np.uint8).reshape(-1, 3)
-        return width, height, 2, palette[pixels.ravel()].tobytes()
-    return width, height, color_type, pixels.tobytes()
+        palette = np.frombuffer(chunk["PLTE"], np.uint8).reshape(-1, 3)
+        out = palette[full[..., 0]]
+        alpha = np.append(np.frombuffer(clear, np.uint8), np.full(256, 255, np.uint8))[full[..., 0]] if clear else None
+    else:
+        key = np.frombuffer(clear, ">u2").astype(np.int32) if clear and color_type in (0, 2) else None
+        alpha = np.where((full == key).all(axis=2), 0, 255) if key is not None else None
+        out = full >> 8 if depth == 16 else full * (255 // ((1 << depth) - 1)) if depth < 8 else full
+        if color_type == 4:
+            out, alpha = out[..., :1], out[..., 1]
+    if alpha is not None:
+        out = np.dstack([out if out.shape[2] == 3 else np.repeat(out, 3, axis=2), alpha])
+    kind = {1: 0, 3: 2, 4: 6}[out.shape[2]]
+    return width, height, kind, out.astype(np.uint8).tobytes()
 
 
 FILES = "image_id long, n_bytes long, data binary, error string"
 
 
-def encode_png(images: DataFrame, options: Options) -> DataFrame:
-    """FILES rows of images(image_id, width, height, color_type, pixels binary); a bad image has an error and no data."""
+def encode_png(images: DataFrame, options: Options, key: str = "image_id") -> DataFrame:
+    """FILES rows of images(image_id, width, height, color_type, pixels binary); a bad image has an error and no data.
+
+    key: the column, of any type, that stands in place of image_id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, out, errors = [], [], []
+            out, errors = [], []
             for r in b.to_pylist():
-                ids.append(r["image_id"])
                 try:
                     out.append(encode_image(r["pixels"], r["width"], r["height"], r["color_type"], options))
                     errors.append(None)
                 except (ValueError, TypeError) as e:
                     out.append(None)
                     errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x or b"") for x in out], pa.int64()), pa.array(out, pa.binary()), pa.array(errors, pa.string())], ["image_id", "n_bytes", "data", "error"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x or b"") for x in out], pa.int64()), pa.array(out, pa.binary()), pa.array(errors, pa.string())], [key, "n_bytes", "data", "error"])
 
-    return images.select("image_id", "width", "height", "color_type", "pixels").mapInArrow(run, FILES)
+    kind = images.schema[key].dataType.simpleString()
+    return images.select(key, "width", "height", "color_type", "pixels").mapInArrow(run, f"{key} {kind}, n_bytes long, data binary, error string")
 
 
 IMAGES = "image_id long, width int, height int, color_type int, pixels binary"
 
 
-def decode_png_or_error(files: DataFrame) -> DataFrame:
-    """IMAGES rows and an error of files(image_id, data); a file that can't be read has an error and no image."""
+#: What a file that can't be read raises, here or in the reader of its streams.
+BROKEN = (ValueError, IndexError, KeyError, zlib.error, struct.error)
+
+
+def decode_png_or_error(files: DataFrame, key: str = "image_id") -> DataFrame:
+    """IMAGES rows and an error of files(image_id, data); a file that can't be read has an error and no image.
+
+    key: the column, of any type, that stands in place of image_id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for d in b.column(1).to_pylist():
                 try:
-                    rows.append((i, *decode_image(d or b""), None))
-                except (ValueError, IndexError, StopIteration, zlib.error) as e:
-                    rows.append((i, None, None, None, None, str(e) or "broken file"))
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)], ["image_id", "width", "height", "color_type", "pixels", "error"])
+                    rows.append((*decode_image(d or b""), None))
+                except BROKEN as e:
+                    rows.append((None, None, None, None, str(e) or "broken file"))
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True))], [key, "width", "height", "color_type", "pixels", "error"])
 
-    return files.select("image_id", "data").mapInArrow(run, f"{IMAGES}, error string")
+    kind = files.schema[key].dataType.simpleString()
+    return files.select(key, "data").mapInArrow(run, IMAGES.replace("image_id long", f"{key} {kind}") + ", error string")
 
 
 def decode_png(files: DataFrame) -> DataFrame:
-    """IMAGES rows of files(image_id, data)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(i, *decode_image(d)) for i, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if d is not None]
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["image_id", "width", "height", "color_type", "pixels"])
-
-    return files.select("image_id", "data").mapInArrow(run, IMAGES)
+    """IMAGES rows of files(image_id, data) that can be read."""
+    return decode_png_or_error(files).where("error IS NULL").drop("error")
 
 
 def chunks(files: DataFrame) -> DataFrame:
-    """(image_id, seq, type, n_bytes, crc_ok) of files(image_id, data)."""
+    """(image_id, seq, type, n_bytes, crc_ok) of files(image_id, data); a broken file has those chunks that are whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

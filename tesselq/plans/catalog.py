@@ -242,8 +242,8 @@ def literal_frequencies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 register("literal_frequencies", literal_frequencies, f"WITH {BYTES}, e AS (SELECT stream_id, unnest(b) AS v FROM s) SELECT stream_id, v::INT AS symbol, count(*) AS freq FROM e GROUP BY ALL UNION ALL SELECT stream_id, 256, 1 FROM s")
-register("adler32", lambda s, d: views.byte_streams(s, d).select("stream_id", B.adler32(B.bytes_of(F.col("data"))).alias("adler32")), f"WITH {BYTES} SELECT stream_id, {ADLER} AS adler32 FROM s")
-register("adler32_pages", lambda s, d: views.page_streams(s, d).select("stream_id", B.adler32(B.bytes_of(F.col("data"))).alias("adler32")), f"WITH {PAGE_BYTES} SELECT stream_id, {ADLER} AS adler32 FROM s")
+register("adler32", lambda s, d: views.byte_streams(s, d).select("stream_id", B.adler32_of(F.col("data")).alias("adler32")), f"WITH {BYTES} SELECT stream_id, {ADLER} AS adler32 FROM s")
+register("adler32_pages", lambda s, d: views.page_streams(s, d).select("stream_id", B.adler32_of(F.col("data")).alias("adler32")), f"WITH {PAGE_BYTES} SELECT stream_id, {ADLER} AS adler32 FROM s")
 
 
 def adler_of_pieces(spark: SparkSession, sf: str) -> DataFrame:
@@ -258,10 +258,8 @@ register("crc32", lambda s, d: views.byte_streams(s, d).select("stream_id", F.cr
 
 
 def trigram_hashes(spark: SparkSession, sf: str) -> DataFrame:
-    streams = views.byte_streams(spark, sf).select("stream_id", B.bytes_of(F.col("data")).alias("b"))
-    third = F.when(F.size("b") >= 3, F.slice("b", 3, F.greatest(F.lit(0), F.size("b") - 2))).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(third, lambda c, i: B.trigram_hash(F.get("b", i), F.get("b", i + 1), c))
-    return streams.select("stream_id", F.size(hashes).cast("long").alias("n"), F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: s + h).alias("total"))
+    hashed = views.byte_streams(spark, sf).select("stream_id", B.trigram_hashes_of(F.col("data")).alias("h"))
+    return hashed.select("stream_id", F.size("h").cast("long").alias("n"), F.aggregate("h", F.lit(0).cast("long"), lambda s, h: s + h).alias("total"))
 
 
 register("trigram_hashes", trigram_hashes, f"WITH {BYTES}, h AS (SELECT stream_id, list_transform(b[3:], lambda c, i: xor(xor(b[i] << 10, b[i + 1] << 5), c) & 32767) AS h FROM s) SELECT stream_id, len(h) AS n, coalesce(list_sum(h), 0)::BIGINT AS total FROM h")
@@ -325,8 +323,38 @@ register(
     lambda s, d: matching.tokens(views.byte_streams(s, d), 2).groupBy("stream_id").agg(F.sum(F.when(F.col("is_literal"), 1).otherwise(F.col("length"))).cast("long").alias("n_bytes")),
     "SELECT doc_id AS stream_id, octet_length(encode(text))::BIGINT AS n_bytes FROM documents WHERE text <> ''",
 )
-register("token_frequencies", lambda s, d: deflate.token_frequencies(matching.tokens(views.byte_streams(s, d), 2)))
+register("token_frequencies", lambda s, d: deflate.token_frequencies(views.byte_streams(s, d), 2))
 register("fixed_block_bits", lambda s, d: deflate.fixed_block_bits(matching.tokens(views.byte_streams(s, d), 2)))
+# the same on short streams, whose greedy parse SQL can follow
+PARSE_SQL = f"""WITH RECURSIVE m AS ({MATCH_SQL}), {IMG}, {IMAGE_STREAMS},
+    path AS (SELECT stream_id, 0 AS pos FROM s UNION ALL SELECT p.stream_id, p.pos + coalesce(m.length, 1) FROM path p LEFT JOIN m ON m.stream_id = p.stream_id AND m.pos = p.pos WHERE p.pos + coalesce(m.length, 1) < 64),
+    tok AS (SELECT p.stream_id, p.pos, s.b[p.pos + 1] AS literal, m.length, m.distance FROM path p JOIN s ON s.stream_id = p.stream_id LEFT JOIN m ON m.stream_id = p.stream_id AND m.pos = p.pos)"""
+LENGTH_EXTRA = "(CASE WHEN length < 11 THEN 0 ELSE floor(log2(length - 3))::INT - 2 END)"
+LENGTH_CODE = f"(CASE WHEN length < 11 THEN 254 + length ELSE 257 + 4 * {LENGTH_EXTRA} + ((length - 3) >> {LENGTH_EXTRA}) END)"
+DISTANCE_CODE = "(CASE WHEN distance < 3 THEN distance - 1 ELSE 2 * floor(log2(distance - 1))::INT + ((distance - 1) >> (floor(log2(distance - 1))::INT - 1)) % 2 END)"
+register(
+    "token_frequencies_images",
+    lambda s, d: deflate.token_frequencies(image_streams(s, d), 1),
+    f"""{PARSE_SQL}, e AS (SELECT stream_id, 'literal' AS alphabet, CASE WHEN length IS NULL THEN literal ELSE {LENGTH_CODE} END AS symbol FROM tok
+    UNION ALL SELECT stream_id, 'literal', 256 FROM s UNION ALL SELECT stream_id, 'distance', {DISTANCE_CODE} FROM tok WHERE length IS NOT NULL)
+    SELECT stream_id, alphabet, symbol::INT AS symbol, count(*) AS freq FROM e GROUP BY ALL""",
+)
+register(
+    "fixed_block_bits_images",
+    lambda s, d: deflate.fixed_block_bits(matching.tokens(image_streams(s, d), 1)),
+    f"""{PARSE_SQL}, w AS (SELECT stream_id, CASE WHEN length IS NULL THEN CASE WHEN literal < 144 THEN 8 ELSE 9 END ELSE 7 + {LENGTH_EXTRA} + 5 + (CASE WHEN distance < 5 THEN 0 ELSE floor(log2(distance - 1))::INT - 1 END) END AS bits FROM tok)
+    SELECT stream_id, (sum(bits) + 10)::BIGINT AS bits, ((sum(bits) + 17) // 8)::BIGINT AS n_bytes FROM w GROUP BY stream_id""",
+)
+register(
+    "coarse_distances_images",
+    lambda s, d: coarse_distances(image_streams(s, d), 1),
+    f"{PARSE_SQL} SELECT stream_id, (CASE WHEN distance <= 4 THEN distance - 1 ELSE ceil(log2(distance)) + 1 END)::INT AS code, count(*) AS n FROM tok WHERE length IS NOT NULL GROUP BY ALL",
+)
+
+
+def coarse_distances(streams: DataFrame, level: int) -> DataFrame:
+    found = matching.tokens(streams, level).where("NOT is_literal").select("stream_id", huffman.coarse_distance_code(F.col("distance")).cast("int").alias("code"))
+    return found.groupBy("stream_id", "code").agg(F.count("*").alias("n"))
 
 
 def kraft(spark: SparkSession, sf: str) -> DataFrame:
@@ -374,7 +402,7 @@ register(
 register("level_chains", lambda s, d: dims.dim_level(s), "SELECT n::INT AS level, (2 << n)::INT AS max_chain FROM range(1, 10) t(n)")
 register(
     "bit_packing",
-    lambda s, d: deflate.packed_bytes(views.table(s, d, "lineitem").select((F.col("l_orderkey") % 64).alias("stream_id"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("seq"), (F.col("l_partkey") % 8).alias("bits"), F.lit(3).alias("width"))).withColumnRenamed("at", "byte_no"),
+    lambda s, d: deflate.packed_bytes(views.table(s, d, "lineitem").select((F.col("l_orderkey") % 64).alias("stream_id"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("seq"), (F.col("l_partkey") % 8).alias("bits"), F.lit(3).alias("width")), F.floor(F.col("seq.l_orderkey") / (1 << 16))).withColumnRenamed("at", "byte_no"),
     """WITH f AS (SELECT l_orderkey % 64 AS stream_id, l_partkey % 8 AS v, 3 * (row_number() OVER (PARTITION BY l_orderkey % 64 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1) AS p FROM lineitem),
     t AS (SELECT stream_id, (p + i) // 8 AS byte_no, (v >> i & 1) << ((p + i) % 8) AS bit FROM f, range(3) r(i)) SELECT stream_id, byte_no::BIGINT AS byte_no, sum(bit)::INT AS value FROM t GROUP BY ALL""",
 )
@@ -482,9 +510,18 @@ register(
     lambda s, d: s.range(1).select(F.lit(256).alias("most_colors"), F.lit(True).alias("dithering"), F.lit(",".join(p[0] for p in dims.PRESETS)).alias("presets")),
     "SELECT 256 AS most_colors, true AS dithering, 'fast,balanced,max,lossy,builder_fast' AS presets",
 )
+register("coarse_distances", lambda s, d: coarse_distances(views.byte_streams(s, d), 2))
+# every third page has a signature before its text
+register(
+    "signatures",
+    lambda s, d: views.page_streams(s, d).select("stream_id", png.has_signature(F.when(F.col("stream_id") % 3 == 0, F.concat(F.unhex(F.lit("89504E470D0A1A0A")), "data")).otherwise(F.col("data"))).alias("png")),
+    "SELECT page_id AS stream_id, page_id % 3 = 0 AS png FROM pages",
+)
 register(
-    "coarse_distances",
-    lambda s, d: matching.tokens(views.byte_streams(s, d), 2).where("NOT is_literal").select("stream_id", huffman.coarse_distance_code(F.col("distance")).cast("int").alias("code")).groupBy("stream_id", "code").agg(F.count("*").alias("n")),
+    "jobs_appended",
+    lambda s, d: jobs.appended(jobs.new_jobs(views.jobs(s, d)), jobs.new_jobs(views.jobs(s, d).withColumn("id", -F.col("id") - 1))).select("id", "name", "kind", "status", "original_bytes", F.col("compressed_bytes").isNull().alias("open")),
+    f"""WITH {JOBS}, k AS (SELECT id, name, CASE WHEN mime LIKE '%png%' OR name LIKE '%.png' THEN 'png' WHEN mime LIKE '%jpeg%' OR name LIKE '%.jpg' THEN 'jpeg' ELSE 'unknown' END AS kind, 'pending' AS status, original_bytes::BIGINT AS original_bytes, true AS open FROM j)
+    SELECT * FROM k UNION ALL SELECT -id - 1, name, kind, status, original_bytes, open FROM k""",
 )
 
 

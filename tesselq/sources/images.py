@@ -19,11 +19,11 @@ def image_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
     """The image files of a folder as (path, image_id, width, height, color_type, pixels, error); image_id is a hash of
-    the path. A JPEG, or a PNG that can't be read, has an error and no image."""
+    the path, for other operators; nothing is joined by it here. A JPEG, or a PNG that can't be read, has an error and no image."""
     files = image_files(spark, folder).where("kind in ('png', 'jpeg')").withColumn("image_id", F.xxhash64("path"))
-    read = decode_png_or_error(files.where("kind = 'png'").select("image_id", "data"))
+    read = decode_png_or_error(files.where("kind = 'png'").select("path", "data"), "path")
     error = F.coalesce("error", F.when(F.col("kind") != "png", F.concat(F.lit("cannot read kind "), "kind")))
-    return files.select("image_id", "path", "kind").join(read, "image_id", "left").withColumn("error", error).drop("kind")
+    return files.select("path", "image_id", "kind").join(read, "path", "left").withColumn("error", error).drop("kind")
 
 
 class FileSink(DataSource):

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tesselq.functions.bytes import adler_joined, adler_parts, bytes_of
 from tesselq.functions.labels import file_kind
-from tesselq.operators.png import decode_png, encode_png
+from tesselq.operators.png import decode_png_or_error, encode_png
 from tesselq.plans.options import Options
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -17,17 +17,19 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length long, content bin
 def encode_folder(spark: SparkSession, folder: str, out: str, checkpoint: str, options: Options, files_per_batch: int = 16) -> StreamingQuery:
     """Each PNG file that arrives in `folder` encoded anew as a row of the Parquet table `out`: path, status, error, sizes.
 
-    Files of other kinds end in error. A batch takes at most files_per_batch files; all that have arrived are taken, then
+    Files of other kinds, and broken ones, end in error. A batch is a partition of `out` by its number, so that one that
+    runs again replaces itself. A batch takes at most files_per_batch files; all that have arrived are taken, then
     the query ends (availableNow), and it goes on from its checkpoint when started again.
     """
     stream = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("maxFilesPerTrigger", files_per_batch).load(folder)
 
-    def batch(df: DataFrame, _: int) -> None:
-        files = df.select("path", F.xxhash64("path").alias("image_id"), F.col("length").alias("original_bytes"), F.col("content").alias("data"), file_kind(F.lit(""), F.col("path")).alias("kind"))
-        done = encode_png(decode_png(files.where("kind = 'png'").select("image_id", "data")), options)
-        joined = files.drop("data").join(done, "image_id", "left")
-        error = F.coalesce("error", F.when(F.col("kind") != "png", F.concat(F.lit("cannot read kind "), "kind")))
-        joined.select("path", F.when(error.isNull(), "done").otherwise("error").alias("status"), error.alias("error"), "original_bytes", F.col("n_bytes").alias("compressed_bytes"), "data").write.mode("append").parquet(out)
+    def batch(df: DataFrame, number: int) -> None:
+        files = df.select("path", F.col("length").alias("original_bytes"), F.col("content").alias("data"), file_kind(F.lit(""), F.col("path")).alias("kind"))
+        read = decode_png_or_error(files.where("kind = 'png'").select("path", "data"), "path").withColumnRenamed("error", "unread")
+        done = encode_png(read.where("unread IS NULL"), options, "path")
+        joined = files.drop("data").join(read.select("path", "unread"), "path", "left").join(done, "path", "left")
+        error = F.coalesce("unread", "error", F.when(F.col("kind") != "png", F.concat(F.lit("cannot read kind "), "kind")))
+        joined.select("path", F.when(error.isNull(), "done").otherwise("error").alias("status"), error.alias("error"), "original_bytes", F.col("n_bytes").alias("compressed_bytes"), "data").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -51,7 +53,7 @@ def joined_adler(pieces: DataFrame, binary: Column) -> DataFrame:
 
 def adler_stream(pieces: DataFrame, checkpoint: str, out: str) -> StreamingQuery:
     """Running checksums of a stream of pieces(stream_id, seq, data), in order of arrival: the state of each stream is its
-    two sums and its length. Each batch's values are appended to the Parquet table `out`."""
+    two sums and its length. Each batch's values are a partition of the Parquet table `out`, by the batch's number."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -68,6 +70,6 @@ def adler_stream(pieces: DataFrame, checkpoint: str, out: str) -> StreamingQuery
     kept = pieces.groupBy("stream_id").applyInPandasWithState(update, "stream_id long, adler32 long, n_bytes long", "value long, n long", "update", GroupStateTimeout.NoTimeout)
 
     def batch(df: DataFrame, number: int) -> None:
-        df.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        df.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return kept.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
