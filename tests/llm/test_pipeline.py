@@ -56,7 +56,6 @@ def test_packing_against_the_tokenizer(stages):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer_path())
-    plain.encode_special_tokens = True
     want, have, bins = Counter(), Counter(), defaultdict(list)
     for r in stages["source_mixing"]:
         ids = [*plain.encode(r.text or "", add_special_tokens=False).ids, 1]
@@ -78,3 +77,34 @@ def test_packing_against_the_tokenizer(stages):
 
 def test_run_is_all_stages(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == len(stages["best_fit_packing"])
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, row int, KEY string, BLOCK int, kept string, _sha string, mark int, log_weight string"
+
+
+def test_stages_with_odd_rows_and_names(spark, tmp_path):
+    words = "the river runs slowly past the old stone mill and the quiet green fields beyond it".split()
+    texts = [" ".join(words[i % 5 :] + [f"end{i}"]) for i in range(30)] + [None, "", "long words here " * 20_000, "again", "again", "İ <|endoftext|>"]
+    rows = [(i, t, "en", "a" if i % 3 else None, 1, i, f"k{i}", 100 + i, "kept", "sha", i, "w") for i, t in enumerate(texts)]
+    rows += [rows[33], (None, "no id at all", "en", "b", 1, 77, "k77", 177, "kept", "sha", 77, "w"), (None, "again", "en", "b", 1, 78, "k78", 178, "kept", "sha", 78, "w")]
+    whole = {(r[0], r[1], *r[5:]) for r in rows}
+    spark.createDataFrame([(i, i % 2, 0) for i in range(0, 30, 3)] + [(None, 1, 0), (4, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = first = spark.createDataFrame(rows, ODD).repartition(3)
+    counts = []
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        if name != "best_fit_packing":
+            assert got.columns == docs.columns
+            docs = spark.createDataFrame(got.collect(), ODD)
+            assert {(r.doc_id, r.text, *r[5:]) for r in docs.collect()} <= whole
+        counts.append(got.count())
+    assert all(counts)
+    dedup, near = (stage(spark, first, str(tmp_path)).collect() for _, stage in corpus_pipeline.STAGES[1:3])
+    assert Counter(r.text or "" for r in dedup) == Counter({r[1] or "" for r in rows}) and {r.doc_id for r in dedup if r.text == "again"} == {33}
+    assert Counter(r.doc_id for r in near if r.doc_id is not None) == Counter({c for *_, c in brute([r[:2] for r in rows]) if c is not None})
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], ODD), str(tmp_path)).count() == 0
