@@ -8,7 +8,7 @@ from collections.abc import Collection, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORDS_ONLY, rows_of, text_of, written
@@ -146,11 +146,14 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, most_positive: i
     picked = F.broadcast(toxic.select("doc_id", F.lit(1).alias("kind")).union(plain.select("doc_id", F.lit(0))).union(clean.select("doc_id", F.lit(2))))
     sampled = text_of(rows.join(picked, "doc_id"), "kind", inner.alias("inner"), chance.alias("chance"))
     sampled = written(sampled.mapInArrow(_features, "kind int, inner boolean, chance long, features binary, sizes binary"), "sample")
-    # a number for each sampled document
-    sizes = sampled.select("kind", "chance", (F.octet_length("features") / 4).alias("n"))
-    upto = sizes.withColumn("upto", F.sum("n").over(Window.partitionBy("kind").orderBy("chance")))
-    fit_in = upto.where(F.col("upto") <= most_features).groupBy("kind").agg(F.max("chance").alias("last"))
-    found = sampled.join(F.broadcast(fit_in), "kind").where("chance <= last").collect()
+    # three numbers for each sampled document
+    fits = F.lit(False)
+    sizes = sorted(map(tuple, sampled.select("kind", "chance", (F.octet_length("features") / 4).cast("long").alias("n")).collect()))
+    for kind in range(3):
+        own = np.array([x[1:] for x in sizes if x[0] == kind], np.int64).reshape(-1, 2)
+        if n := int(np.searchsorted(np.cumsum(own[:, 1]), most_features, side="right")):
+            fits = fits | ((F.col("kind") == kind) & (F.col("chance") <= int(own[n - 1, 0])))
+    found = sampled.where(fits).collect()
     parts: list[list[tuple]] = [[], [], []]
     for r in sorted(found, key=lambda r: (r.kind, r.features)):
         parts[r.kind].append((r.inner, np.frombuffer(r.features, "<u4").astype(np.int64), bytes(r.sizes)))
