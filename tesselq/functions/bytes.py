@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -53,12 +54,15 @@ def adler_parts(numbers: Column) -> tuple[Column, Column]:
 
 def adler32_of(binary: Column) -> Column:
     """Adler-32 of a BINARY, from its own buffer; null of null."""
+    return adler32_udf()(binary)
 
+
+def adler32_udf() -> Callable[[Column], Column]:
     @F.arrow_udf("long")
     def of(data: pa.Array) -> pa.Array:
         return pa.array([zlib.adler32(x.as_buffer()) if x.is_valid else None for x in data], pa.int64())
 
-    return of(binary)
+    return of
 
 
 def adler32(numbers: Column) -> Column:
@@ -78,7 +82,10 @@ def reverse_bits(value: Column, n: Column) -> Column:
 
 def trigram_hashes_of(binary: Column) -> Column:
     """The 15-bit hashes of a BINARY's runs of three bytes, as ARRAY<INT>; all rows of a batch in one pass."""
+    return trigram_hashes_udf()(binary)
+
 
+def trigram_hashes_udf() -> Callable[[Column], Column]:
     @F.arrow_udf("array<int>")
     def of(data: pa.Array) -> pa.Array:
         data = data.cast(pa.large_binary()).fill_null(b"")
@@ -90,7 +97,7 @@ def trigram_hashes_of(binary: Column) -> Column:
         own = np.arange(offsets[-1]) + np.repeat(ends[:-1] - ends[0] - offsets[:-1], sizes)
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes[own] if len(own) else np.zeros(0, np.int32), pa.int32()))
 
-    return of(binary)
+    return of
 
 
 def trigram_hash(a: Column, b: Column, c: Column) -> Column:

@@ -57,6 +57,10 @@ def preset_number(name: Column) -> Column:
     return F.when(name == "smaller", 0).when(name == "balanced", 1).when(name == "faster", 2)
 
 
+def preset_label(name: Column) -> Column:
+    return F.when(name.isin("smaller", "balanced", "faster"), F.initcap(name))
+
+
 def preset_of_number(n: Column) -> Column:
     """Unknown numbers are balanced."""
     return F.when(n == 0, "max").when(n == 2, "fast").otherwise("balanced")
@@ -71,6 +75,15 @@ def color_choice_label(n: Column) -> Column:
     return F.when(color_choice(n) == 0, "Lossless").otherwise(F.concat(n.cast("string"), F.lit(" colors")))
 
 
+def is_lossless(n: Column) -> Column:
+    return color_choice(n) == 0
+
+
+def new_id() -> Column:
+    """Seven random characters of 0-9 and a-z. Not a key for many rows: two of 300,000 are likely to be the same."""
+    return F.lpad(F.lower(F.conv(F.floor(F.rand() * 36**7).cast("string"), 10, 36)), 7, "0")
+
+
 def output_name(path: Column) -> Column:
     """The path with its extension, if any, replaced."""
     return F.concat(F.regexp_replace(path, r"\.[^.]*$", ""), F.lit(".png"))

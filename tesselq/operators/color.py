@@ -114,3 +114,13 @@ def get_color(palette: Column, idx: Column) -> Column:
     """An entry; black outside the palette."""
     black = F.struct(F.lit(0).alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"))
     return F.coalesce(F.get(palette, idx), black)
+
+
+def palette_has_alpha(palette: Column) -> Column:
+    """A palette's entries are r, g, b: none has alpha."""
+    return F.when(palette.isNotNull(), False)
+
+
+def palette_alphas(palette: Column) -> Column:
+    """The alphas of a palette's entries, opaque all of them."""
+    return F.transform(palette, lambda _: F.lit(255))

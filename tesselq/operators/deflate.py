@@ -19,6 +19,8 @@ from .matching import parse
 #: Fixed value of the format: the order in which lengths of the code-length code are written.
 CODE_LENGTH_ORDER = (16, 17, 18, 0, 8, 7, 9, 6, 10, 5, 11, 4, 12, 3, 13, 2, 14, 1, 15)
 END = 256
+#: Fixed values of the format: how few and how many literal, distance and length codes a header holds.
+HEADER_COUNTS = ((257, 286), (1, 30), (4, 19))
 
 
 def _lookup(codes: list[tuple[int, int, int]], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,6 +101,12 @@ def runs(lengths: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
+def header_counts_error(n_lit: Column, n_dist: Column, n_meta: Column) -> Column:
+    """The first of the three numbers of codes that a header can't hold, or null."""
+    ranges = zip(("literal", "distance", "length"), (n_lit, n_dist, n_meta), HEADER_COUNTS, strict=True)
+    return F.coalesce(*(F.when(~n.between(least, most), f"{name} codes") for name, n, (least, most) in ranges))
+
+
 def dynamic_header(lit: np.ndarray, dist: np.ndarray) -> list[tuple[int, int]]:
     """Fields of a last block's header with its own codes; the runs of both alphabets are coded apart."""
     n_lit, n_dist = max(257, int(np.flatnonzero(lit).max()) + 1), max(1, int(np.flatnonzero(dist).max()) + 1)
@@ -106,6 +114,9 @@ def dynamic_header(lit: np.ndarray, dist: np.ndarray) -> list[tuple[int, int]]:
     meta = code_lengths(np.bincount([x for x, _, _ in coded], minlength=19), 7)
     ordered = [int(meta[i]) for i in CODE_LENGTH_ORDER]
     n_meta = max(4, max(i for i, x in enumerate(ordered) if x) + 1)
+    for n, (least, most) in zip((n_lit, n_dist, n_meta), HEADER_COUNTS, strict=True):
+        if not least <= n <= most:
+            raise ValueError(f"a header holds {least} to {most} codes, not {n}")
     codes = canonical(meta)
     fields = [(1, 1), (2, 2), (n_lit - 257, 5), (n_dist - 1, 5), (n_meta - 4, 4), *((x, 3) for x in ordered[:n_meta])]
     for x, extra, bits in coded:

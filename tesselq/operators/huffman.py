@@ -148,6 +148,15 @@ def first_code(value: Column, codes: list[tuple[int, int, int]]) -> Column:
     return out
 
 
+def coded(values: DataFrame, column: str, codes: DataFrame) -> DataFrame:
+    """values with code, extra and extra_bits, by a join on ranges with codes(code, base, extra, last), some thirty rows made
+    from a rule, so broadcast; of two ranges that hold a value the first code's counts. Distinct values are joined and
+    met again by value, so the pairs are as few as the format's lengths and distances."""
+    found = values.select(column).distinct().join(F.broadcast(codes), F.col(column).between(F.col("base"), F.col("last")))
+    first = found.groupBy(column).agg(F.min(F.struct("code", (F.col(column) - F.col("base")).alias("extra"), F.col("extra").alias("extra_bits"))).alias("c"))
+    return values.join(first.select(column, "c.*"), column, "left")
+
+
 def coarse_distance_code(distance: Column) -> Column:
     """A simpler histogram's code: one each up to 4, then one for each doubling up to 16384, then 16; -1 for 0."""
     return F.when(distance == 0, -1).when(distance <= 4, distance - 1).when(distance > 16384, 16).otherwise(F.ceil(F.log2(distance.cast("double"))).cast("int") + 1)

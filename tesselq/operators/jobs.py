@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesselq.functions import labels
+from tesselq.functions import dims, labels
 
 #: The states of a job, in order.
 STATES = ("pending", "decoding", "compressing", "done", "error")
@@ -48,6 +48,46 @@ def appended(jobs: DataFrame, more: DataFrame) -> DataFrame:
     return jobs.unionByName(more)
 
 
+def states_passed(kind: Column, unread: Column, error: Column) -> Column:
+    """The states a job goes through: a PNG is decoded, then compressed, and ends in error where either says so; a JPEG is
+    looked at and ends in error, a file of another kind ends there at once."""
+    names = lambda *states: F.array(*map(F.lit, states))
+    return (
+        F.when(kind == "jpeg", names("pending", "decoding", "error")).when(F.coalesce(kind != "png", F.lit(True)), names("pending", "error"))
+        .when(unread.isNotNull(), names("pending", "decoding", "error")).when(error.isNotNull(), names("pending", "decoding", "compressing", "error"))
+        .otherwise(names("pending", "decoding", "compressing", "done"))
+    )
+
+
+def transitions(jobs: DataFrame) -> DataFrame:
+    """(id, seq, status) of jobs(id, kind, unread, error): a row for each state, so that latest() gives the job's end."""
+    return jobs.select("id", F.posexplode(states_passed(F.col("kind"), F.col("unread"), F.col("error"))).alias("seq", "status"))
+
+
+def replies(messages: DataFrame) -> DataFrame:
+    """A worker's answers (session, seq, type, id, error) to messages(session, seq, type, id, failed).
+
+    init: ready. compress: error without an id, or before the session's first init, or with `failed` where encoding has
+    failed; else compressed. Other messages have no answer. One number a session is joined back.
+    """
+    ready = messages.where("type = 'init'").groupBy("session").agg(F.min("seq").alias("ready"))
+    asked = messages.where("type IN ('init', 'compress')").join(ready, "session", "left")
+    error = (
+        F.when(F.col("type") == "init", None).when(F.col("id").isNull(), "invalid compress message")
+        .when(F.coalesce(F.col("ready") > F.col("seq"), F.lit(True)), "not initialized").otherwise(F.col("failed"))
+    )
+    kind = F.when(error.isNotNull(), "error").when(F.col("type") == "init", "ready").otherwise("compressed")
+    return asked.select("session", "seq", kind.alias("type"), F.when(F.col("type") == "compress", F.col("id")).alias("id"), error.alias("error"))
+
+
+def with_settings(jobs: DataFrame) -> DataFrame:
+    """jobs with the settings of their preset, by a join with dim_preset, which is five rows of a literal and so broadcast; an
+    unknown or missing name has the balanced one's."""
+    known = [row[0] for row in dims.PRESETS]
+    named = jobs.withColumn("preset", F.when(F.col("preset").isin(*known), F.col("preset")).otherwise("balanced"))
+    return named.join(F.broadcast(dims.dim_preset(jobs.sparkSession)), "preset")
+
+
 def pending(jobs: DataFrame) -> DataFrame:
     return jobs.where("status = 'pending'")
 

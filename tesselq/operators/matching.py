@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the format.
@@ -177,6 +177,30 @@ def window_match(window: bytes, ahead: bytes) -> tuple[int, int]:
     return 0, 0
 
 
+def window_before(data: Column, at: Column, size: int = FARTHEST) -> Column:
+    """The last `size` bytes of a stream before the place `at`: what a sliding window holds there; FARTHEST at most."""
+    size = min(size, FARTHEST)
+    return F.substring(data, F.greatest(at - size, F.lit(0)) + 1, F.least(at, F.lit(size)))
+
+
+def slid(window: bytes, more: bytes, size: int = FARTHEST) -> bytes:
+    """A window after more bytes: the latest `size`, FARTHEST at most. As state of a stream it doesn't grow."""
+    size = min(size, FARTHEST)
+    return (window + more)[-size:] if size > 0 else b""
+
+
+def window_matches(places: DataFrame) -> DataFrame:
+    """(stream_id, pos, length, distance) of places(stream_id, pos, window, ahead) where window_match finds one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [window_match(w, a) for w, a in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([n for _, n in found], pa.int32()), pa.array([d for d, _ in found], pa.int32())], ["stream_id", "pos", "length", "distance"])
+            yield out.filter(pa.array([n > 0 for _, n in found], pa.bool_()))
+
+    return places.select(F.col("stream_id").cast("long").alias("stream_id"), F.col("pos").cast("int").alias("pos"), "window", "ahead").mapInArrow(run, "stream_id long, pos int, length int, distance int")
+
+
 def best_matches_sql(positions: DataFrame, chain: int) -> DataFrame:
     """The same search as relations, for streams of some hundred bytes: positions(stream_id, pos, hash, data, n).
 

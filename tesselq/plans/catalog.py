@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tesselq.functions import bytes as B
 from tesselq.functions import dims, labels
+from tesselq.functions import sql as names
 from tesselq.operators import color, deflate, huffman, jobs, matching, png, quantize, scanlines
 from tesselq.plans import views
 from tesselq.plans.options import preset
@@ -223,7 +224,7 @@ NEAR_GRAY = "list_transform(px, lambda v: list_aggregate(list_transform([40, 80,
 register("threshold", lambda s, d: quantize.dither(views.images(s, d), GRAYS, "threshold").select("image_id", joined("indices").alias("indices")), f"WITH {IMG} SELECT image_id, array_to_string({NEAR_GRAY}, ',') AS indices FROM img")
 for _name in ("floyd_steinberg", "jarvis", "encoder", "floyd_steinberg_rows"):
     register(f"dither_{_name}", lambda s, d, name=_name: quantize.dither(views.images(s, d), GRAYS, name).select("image_id", joined("indices").alias("indices")))
-register("quantized_error", lambda s, d: quantize.mean_error(quantize.quantized(views.images(s, d), 64), views.images(s, d)), "SELECT vec_id AS image_id, 0.0::DOUBLE AS error FROM embeddings")
+register("quantized_error", lambda s, d: quantize.mean_error(quantize.quantized(views.images(s, d), 16), views.images(s, d)))
 register("quantize_16", lambda s, d: quantize.quantized(views.images(s, d), 16).select("image_id", joined("indices").alias("indices"), joined("palette").alias("palette")))
 register("quantize_dithered", lambda s, d: quantize.quantized(views.images(s, d), 8, True).select("image_id", joined("indices").alias("indices"), joined("palette").alias("palette")))
 
@@ -525,6 +526,243 @@ register(
 )
 
 
+# --- diffusion, pixel by pixel, on the gray images ---
+CLIP = "least(255, greatest(0, {}))"
+SIX_GRAYS = "src AS (SELECT image_id, px, [40, 80, 110, 128, 150, 200] AS pal FROM img)"
+GRAY_AT = "(list_aggregate(list_transform(pal, lambda p, k: abs(v - p) * 10 + k - 1), 'min') % 10)"
+
+
+def cut_sql(weight: int, of: int) -> str:
+    return f"(sign(err) * (abs(err) * {weight} // {of}))::INT"
+
+
+def steps_sql(state: str, start: str, change: str, src: str, more: str = "") -> str:
+    """A recursion over an image's 64 pixels: state's columns start as given and change by v, the pixel's value with what it
+    waits for, near, its palette index, and err, what is left. src is the CTE of image_id, px and pal, a list of grays."""
+    own = "e0" if "e0" in state else "above[i % 8 + 1]"
+    return f"""WITH RECURSIVE {IMG}, {src}, d AS (SELECT image_id, px, pal, 0 AS i, {start}, []::INT[] AS out FROM src UNION ALL
+    SELECT image_id, px, pal, i + 1, {change}, list_append(out, near::INT) FROM (SELECT *, v - pal[near + 1] AS err FROM
+      (SELECT *, {GRAY_AT} AS near FROM (SELECT *, {CLIP.format(f"px[i + 1] + {own}")} AS v FROM d WHERE i < 64))))
+    SELECT image_id, array_to_string(out, ',') AS indices{more} FROM d WHERE i = 64"""
+
+
+def line_sql(weights: tuple[int, ...], of: int, carry: bool, src: str = SIX_GRAYS, more: str = "") -> str:
+    moved = [f"{f'e{k + 1} + ' if k < 3 else ''}{cut_sql(w, of) if w else 0}" for k, w in enumerate((*weights, 0, 0, 0, 0)[:4])]
+    moved = [CLIP.format(x) if carry and k == 0 else x for k, x in enumerate(moved)]
+    names_ = [f"e{k}" for k in range(4)]
+    return steps_sql(", ".join(names_), ", ".join(f"0 AS {n}" for n in names_), ", ".join(f"({x})::INT" for x in moved), src, more)
+
+
+_SQL["dither_floyd_steinberg"] = line_sql((7, 1), 16, False)
+_SQL["dither_jarvis"] = line_sql((7, 5, 3, 1), 48, False)
+_SQL["dither_encoder"] = line_sql((7,), 16, True)
+BELOW = f"list_transform(below, lambda b, k: CASE k - 1 - i % 8 WHEN 0 THEN {cut_sql(3, 16)} WHEN 1 THEN {CLIP.format(f'b + CASE WHEN i % 8 < 7 THEN {cut_sql(7, 16)} ELSE 0 END')} WHEN 2 THEN b + CASE WHEN i % 8 < 6 THEN {cut_sql(5, 16)} ELSE 0 END ELSE b END)"
+NONE_YET = "list_transform(range(10), lambda z: 0)"
+_SQL["dither_floyd_steinberg_rows"] = steps_sql(
+    "above, below", f"{NONE_YET} AS above, {NONE_YET} AS below", f"CASE WHEN i % 8 = 7 THEN {BELOW} ELSE above END, CASE WHEN i % 8 = 7 THEN {NONE_YET} ELSE {BELOW} END", SIX_GRAYS
+)
+
+
+def cut_boxes_sql(most: int) -> str:
+    """CTEs from cnt(image_id, r, g, b, n) to cut(image_id, idx, r, g, b): boxes as lists, the first longest halved in each step."""
+    return f"""start AS (SELECT image_id, [list({{'r': r, 'g': g, 'b': b, 'n': n}} ORDER BY n DESC, r, g, b)] AS boxes FROM cnt GROUP BY image_id),
+    few AS (SELECT image_id, list_transform(boxes[1], lambda x: [x]) AS boxes FROM start WHERE len(boxes[1]) <= {most}),
+    halved AS (SELECT image_id, boxes FROM start WHERE len(boxes[1]) > {most} UNION ALL
+      SELECT image_id, list_append(list_transform(boxes, lambda x, i: CASE WHEN i = longest THEN along[: len(along) // 2] ELSE x END), along[len(along) // 2 + 1 :]) FROM
+      (SELECT *, list_transform(list_sort(list_transform(own, lambda x, i: {{'v': CASE WHEN wr >= wg AND wr >= wb THEN x.r WHEN wg >= wb THEN x.g ELSE x.b END, 'i': i, 'x': x}})), lambda y: y.x) AS along FROM
+      (SELECT *, {", ".join(f"list_max(list_transform(own, lambda x: x.{c})) - list_min(list_transform(own, lambda x: x.{c})) AS w{c}" for c in "rgb")} FROM
+      (SELECT *, boxes[longest] AS own FROM
+      (SELECT *, list_position(list_transform(boxes, lambda x: len(x)), list_max(list_transform(boxes, lambda x: len(x)))) AS longest FROM halved WHERE len(boxes) < {most}))))),
+    boxed AS (SELECT image_id, unnest(range(len(boxes))) AS idx, unnest(boxes) AS box FROM (FROM few UNION ALL SELECT * FROM halved WHERE len(boxes) = {most})),
+    cut AS (SELECT image_id, idx::INT AS idx, {", ".join(f"(list_sum(list_transform(box, lambda x: x.{c} * x.n)) // list_sum(list_transform(box, lambda x: x.n)))::INT AS {c}" for c in "rgb")} FROM boxed)"""
+
+
+GRAY_COUNTS = "cnt AS (SELECT image_id, v AS r, v AS g, v AS b, count(*) AS n FROM (SELECT image_id, unnest(px) AS v FROM img) GROUP BY ALL)"
+OWN_GRAYS = "src AS (SELECT img.image_id, px, pal FROM img JOIN (SELECT image_id, list(r ORDER BY idx) AS pal FROM cut GROUP BY image_id) c ON c.image_id = img.image_id)"
+PAL_TEXT = "array_to_string(flatten(list_transform(pal, lambda p: [p, p, p])), ',') AS palette"
+_SQL["median_cut"] = f"WITH RECURSIVE {COUNTS}, {cut_boxes_sql(16)} SELECT * FROM cut"
+_SQL["quantize_16"] = f"""WITH RECURSIVE {IMG}, {GRAY_COUNTS}, {cut_boxes_sql(16)}, {OWN_GRAYS}
+    SELECT image_id, array_to_string(list_transform(px, lambda v: list_min(list_transform(pal, lambda p, k: abs(v - p) * 100 + k - 1)) % 100), ',') AS indices, {PAL_TEXT} FROM src"""
+_SQL["quantized_error"] = f"""WITH RECURSIVE {IMG}, {GRAY_COUNTS}, {cut_boxes_sql(16)}, {OWN_GRAYS}
+    SELECT image_id, list_sum(list_transform(px, lambda v: list_min(list_transform(pal, lambda p: (v - p) * (v - p)))))::DOUBLE / 64 AS error FROM src"""
+_SQL["quantize_dithered"] = line_sql((7,), 16, True, f"{GRAY_COUNTS}, {cut_boxes_sql(8)}, {OWN_GRAYS}", f", {PAL_TEXT}")
+
+
+def mapped_error(spark: SparkSession, sf: str) -> DataFrame:
+    """The mean squared distance of each gray image from itself in six grays."""
+    images = views.images(spark, sf)
+    grays = F.array(*(F.lit(int(v)) for v in GRAYS.ravel()))
+    return quantize.mean_error(quantize.dither(images, GRAYS, "threshold").withColumn("palette", grays), images)
+
+
+register("mapped_error", mapped_error, f"WITH {IMG} SELECT image_id, list_sum(list_transform(px, lambda v: list_min(list_transform([40, 80, 110, 128, 150, 200], lambda p: (v - p) * (v - p)))))::DOUBLE / 64 AS error FROM img")
+
+
+def indexed_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """Images of sixteen levels through files with a palette, and back as r, g, b."""
+    coarse = views.images(spark, sf).withColumn("pixels", F.transform("pixels", lambda v: F.floor(v / 16).cast("int")))
+    back = png.decode_png(png.encode_png(views.binary_images(coarse), preset("lossy", 16)))
+    return back.select("image_id", "color_type", joined(B.bytes_of(F.col("pixels"))).alias("pixels"))
+
+
+register("png_indexed_pixels", indexed_pixels, f"WITH {IMG} SELECT image_id, 2 AS color_type, array_to_string(flatten(list_transform(px, lambda v: [v // 16, v // 16, v // 16])), ',') AS pixels FROM img")
+
+
+# --- codes: cost, runs, ranges ---
+def huffman_cost(spark: SparkSession, sf: str) -> DataFrame:
+    """Bits of each text by its own code, of any length."""
+    coded = huffman.code_table(literal_frequencies(spark, sf).withColumn("alphabet", F.lit("literal")), 64)
+    return coded.groupBy("stream_id").agg(F.sum(F.col("freq") * F.col("length")).alias("bits"))
+
+
+register(
+    "huffman_cost",
+    huffman_cost,
+    f"""WITH RECURSIVE {BYTES}, e AS (SELECT stream_id, unnest(list_append(b, 256)) AS v FROM s), f AS (SELECT stream_id, v, count(*) AS n FROM e GROUP BY ALL),
+    h AS (SELECT stream_id, list_sort(list(n)) AS q, CASE WHEN count(*) = 1 THEN sum(n) ELSE 0 END::BIGINT AS bits FROM f GROUP BY stream_id
+      UNION ALL SELECT stream_id, list_sort(list_append(q[3:], q[1] + q[2])), bits + q[1] + q[2] FROM h WHERE len(q) > 1)
+    SELECT stream_id, bits FROM h WHERE len(q) = 1""",
+)
+
+
+def run_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """The runs of the images' values at two levels, above 150 or not, as symbols with their extra bits."""
+    lengths = views.images(spark, sf).select(F.col("image_id").alias("stream_id"), F.lit("literal").alias("alphabet"), F.posexplode(F.transform("pixels", lambda v: F.when(v > 110, 0).otherwise(7))).alias("symbol", "length"))
+    return huffman.length_runs(lengths).drop("alphabet")
+
+
+ONE_RUN = "{{'symbol': {}, 'repeat': {}}}"
+register(
+    "length_run_symbols",
+    run_symbols,
+    f"""WITH {IMG}, v AS (SELECT image_id AS stream_id, i, CASE WHEN px[i] > 110 THEN 0 ELSE 7 END AS x, CASE WHEN px[i - 1] > 110 THEN 0 ELSE 7 END AS before FROM img, range(1, 65) t(i)),
+    g AS (SELECT *, sum((i = 1 OR x <> before)::INT) OVER (PARTITION BY stream_id ORDER BY i) AS island FROM v),
+    r AS (SELECT stream_id, x, min(i) - 1 AS start, count(*) AS n FROM g GROUP BY stream_id, x, island),
+    p AS (SELECT stream_id, start, CASE WHEN x = 0 THEN CASE WHEN n >= 11 THEN [{ONE_RUN.format(18, "n")}] WHEN n >= 3 THEN [{ONE_RUN.format(17, "n")}] ELSE list_transform(range(n), lambda k: {ONE_RUN.format("0::BIGINT", "1::BIGINT")}) END
+      ELSE list_concat([{ONE_RUN.format("x::BIGINT", "1::BIGINT")}], list_transform(range((n - 1) // 6), lambda k: {ONE_RUN.format("16::BIGINT", "6::BIGINT")}),
+        CASE WHEN (n - 1) % 6 >= 3 THEN [{ONE_RUN.format("16::BIGINT", "(n - 1) % 6")}] ELSE list_transform(range((n - 1) % 6), lambda k: {ONE_RUN.format("x::BIGINT", "1::BIGINT")}) END) END AS parts FROM r),
+    u AS (SELECT stream_id, start, unnest(range(len(parts))) AS part, unnest(parts) AS q FROM p)
+    SELECT stream_id, start::INT AS start, part::INT AS part, q.symbol::INT AS symbol, q.repeat::INT AS repeat, (CASE q.symbol WHEN 18 THEN q.repeat - 11 WHEN 17 THEN q.repeat - 3 WHEN 16 THEN q.repeat - 3 ELSE 0 END)::INT AS extra,
+      (CASE q.symbol WHEN 18 THEN 7 WHEN 17 THEN 3 WHEN 16 THEN 2 ELSE 0 END)::INT AS extra_bits FROM u""",
+)
+register(
+    "header_counts",
+    lambda s, d: views.table(s, d, "part").select("p_partkey", deflate.header_counts_error(F.col("p_partkey") % 40 + 250, F.col("p_size") % 33, F.col("p_partkey") % 21).alias("error")),
+    "SELECT p_partkey, CASE WHEN p_partkey % 40 + 250 NOT BETWEEN 257 AND 286 THEN 'literal codes' WHEN p_size % 33 NOT BETWEEN 1 AND 30 THEN 'distance codes' WHEN p_partkey % 21 NOT BETWEEN 4 AND 19 THEN 'length codes' END AS error FROM part",
+)
+register(
+    "coded_lengths",
+    lambda s, d: huffman.coded(views.table(s, d, "part").select("p_partkey", (F.col("p_partkey") % 256 + 3).alias("length")), "length", dims.dim_length_code(s)),
+    f"WITH p AS (SELECT p_partkey, p_partkey % 256 + 3 AS length FROM part) SELECT p_partkey, length, {LENGTH_CODE}::INT AS code, (CASE WHEN length < 11 THEN 0 ELSE (length - 3) & ((1 << {LENGTH_EXTRA}) - 1) END)::BIGINT AS extra, {LENGTH_EXTRA}::INT AS extra_bits FROM p",
+)
+DISTANCE_EXTRA = "(CASE WHEN distance < 5 THEN 0 ELSE floor(log2(distance - 1))::INT - 1 END)"
+register(
+    "coded_distances",
+    lambda s, d: huffman.coded(views.table(s, d, "part").select("p_partkey", (F.col("p_partkey") * 7919 % 32768 + 1).alias("distance")), "distance", dims.dim_distance_code(s)),
+    f"WITH p AS (SELECT p_partkey, p_partkey * 7919 % 32768 + 1 AS distance FROM part) SELECT p_partkey, distance, {DISTANCE_CODE}::INT AS code, ((distance - 1) & ((1 << {DISTANCE_EXTRA}) - 1))::BIGINT AS extra, {DISTANCE_EXTRA}::INT AS extra_bits FROM p",
+)
+
+
+# --- the sliding window, and names for SQL ---
+def sliding_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """What a window of 1500 bytes holds before each 1000 bytes of a text."""
+    at = F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("data") / 1000).cast("int"))).alias("seq")
+    window = matching.window_before(F.col("data"), F.col("seq") * 1000, 1500)
+    return views.byte_streams(spark, sf).select("stream_id", "data", at).select("stream_id", "seq", F.octet_length(window).alias("n_bytes"), F.md5(F.hex(window)).alias("md5"))
+
+
+register(
+    "sliding_windows",
+    sliding_windows,
+    "WITH e AS (SELECT doc_id AS stream_id, hex(encode(coalesce(text, ''))) AS h FROM documents), w AS (SELECT stream_id, unnest(range(len(h) // 2000 + 1)) AS seq, h FROM e), x AS (SELECT stream_id, seq, substr(h, greatest(0, seq * 1000 - 1500) * 2 + 1, least(seq * 1000, 1500) * 2) AS w FROM w) SELECT stream_id, seq::INT AS seq, (len(w) // 2)::INT AS n_bytes, md5(w) AS md5 FROM x",
+)
+
+
+def window_matches(spark: SparkSession, sf: str) -> DataFrame:
+    at = image_streams(spark, sf).select("stream_id", "data", F.explode(F.sequence(F.lit(0), F.octet_length("data") - 3)).alias("pos"))
+    return matching.window_matches(at.select("stream_id", "pos", matching.window_before(F.col("data"), F.col("pos")).alias("window"), F.expr("substring(data, pos + 1)").alias("ahead")))
+
+
+register(
+    "window_matches",
+    window_matches,
+    f"""WITH {IMG}, {IMAGE_STREAMS}, c AS (SELECT stream_id, b, p, q FROM s, range(64) t(p), range(64) u(q) WHERE q < p AND p <= 61),
+    m AS (SELECT stream_id, p, p - q AS far, least(p - q, coalesce(list_min(list_filter(range(64 - p), lambda i: b[p + i + 1] <> b[q + i + 1])), 64 - p)) AS n FROM c)
+    SELECT stream_id, p::INT AS pos, max(n)::INT AS length, (100 - max(n * 100 + 100 - far) % 100)::INT AS distance FROM m WHERE n >= 3 GROUP BY stream_id, p""",
+)
+
+
+def tokens_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    names.register(spark)
+    return spark.sql("SELECT s.stream_id, t.pos, coalesce(t.literal, -1) AS literal, coalesce(t.length, 0) AS length, coalesce(t.distance, 0) AS distance FROM {streams} s, LATERAL deflate_tokens(s.data, 1) t", streams=image_streams(spark, sf))
+
+
+register("tokens_by_name", tokens_by_name, f"{PARSE_SQL} SELECT stream_id, pos::INT AS pos, (CASE WHEN length IS NULL THEN literal ELSE -1 END)::INT AS literal, coalesce(length, 0)::INT AS length, coalesce(distance, 0)::INT AS distance FROM tok")
+
+
+def checksums_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    names.register(spark)
+    return spark.sql("SELECT stream_id, adler32(data) AS adler32, cast(size(trigram_hashes(data)) AS bigint) AS n_hashes FROM {streams}", streams=views.page_streams(spark, sf))
+
+
+register("checksums_by_name", checksums_by_name, f"WITH {PAGE_BYTES} SELECT stream_id, {ADLER} AS adler32, greatest(0, len(b) - 2)::BIGINT AS n_hashes FROM s")
+
+# --- settings, states and messages ---
+register(
+    "preset_settings",
+    lambda s, d: jobs.with_settings(views.table(s, d, "part").select("p_partkey", F.get(F.array(*map(F.lit, ("fast", "balanced", "max", "lossy", "unknown"))), F.col("p_size") % 6).alias("preset"))),
+    """WITH d(preset, level, strategy, optimize_alpha, reduce_color, optimal) AS (VALUES ('fast', 2, 'minsum', false, false, false), ('balanced', 6, 'adaptive', true, true, false), ('max', 9, 'minsum', true, true, true), ('lossy', 9, 'minsum', true, false, true)),
+    p AS (SELECT p_partkey, (['fast', 'balanced', 'max', 'lossy', 'balanced', 'balanced'])[p_size % 6 + 1] AS preset FROM part) SELECT p_partkey, d.* FROM p JOIN d USING (preset)""",
+)
+
+
+def setting_flags(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.get(F.array(*map(F.lit, ("smaller", "balanced", "faster", "else"))), F.col("p_size") % 4)
+    return views.table(spark, sf, "part").select("p_partkey", labels.preset_label(name).alias("label"), F.coalesce(labels.preset_number(name), F.lit(-1)).alias("number"), labels.is_lossless(F.col("p_size") * 8).alias("lossless"))
+
+
+register(
+    "setting_flags",
+    setting_flags,
+    "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Smaller' WHEN 1 THEN 'Balanced' WHEN 2 THEN 'Faster' END AS label, (CASE WHEN p_size % 4 < 3 THEN p_size % 4 ELSE -1 END)::INT AS number, p_size * 8 NOT IN (8, 16, 32, 64, 128, 256) AS lossless FROM part",
+)
+register(
+    "palette_alphas",
+    lambda s, d: common_palettes(s, d).select("image_id", color.palette_has_alpha(F.col("palette")).alias("has_alpha"), joined(color.palette_alphas(F.col("palette"))).alias("alphas")),
+    f"WITH {TOP16} SELECT image_id, false AS has_alpha, string_agg('255', ',') AS alphas FROM top GROUP BY image_id",
+)
+
+
+def job_transitions(spark: SparkSession, sf: str) -> DataFrame:
+    j = views.jobs(spark, sf)
+    return jobs.transitions(j.select("id", labels.file_kind(F.col("mime"), F.col("name")).alias("kind"), F.when(F.col("id") % 10 == 4, "unreadable").alias("unread"), F.when(F.col("id") % 10 == 9, "too large").alias("error")))
+
+
+register(
+    "job_transitions",
+    job_transitions,
+    f"""WITH {JOBS}, k AS (SELECT id, CASE WHEN mime LIKE '%png%' OR name LIKE '%.png' THEN CASE id % 10 WHEN 4 THEN 'pending,decoding,error' WHEN 9 THEN 'pending,decoding,compressing,error' ELSE 'pending,decoding,compressing,done' END
+      WHEN mime LIKE '%jpeg%' OR name LIKE '%.jpg' THEN 'pending,decoding,error' ELSE 'pending,error' END AS way FROM j),
+    t AS (SELECT id, string_split(way, ',') AS w FROM k) SELECT id, unnest(range(len(w)))::INT AS seq, unnest(w) AS status FROM t""",
+)
+
+
+def worker_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as messages: every ninth an init, some of no known type, some without an id, some that fail."""
+    e = F.col("event_id")
+    kind = F.when(e % 9 == 0, "init").when(e % 9 == 8, "else").otherwise("compress")
+    return jobs.replies(views.table(spark, sf, "events").select(F.col("user_id").alias("session"), e.alias("seq"), kind.alias("type"), F.when(e % 11 != 0, e.cast("string")).alias("id"), F.when(e % 13 == 0, "bad pixels").alias("failed")))
+
+
+register(
+    "worker_replies",
+    worker_replies,
+    """WITH m AS (SELECT user_id AS session, event_id AS seq, event_id % 9 AS k, min(CASE WHEN event_id % 9 = 0 THEN event_id END) OVER (PARTITION BY user_id) AS ready FROM events),
+    a AS (SELECT *, CASE WHEN k = 0 THEN NULL WHEN seq % 11 = 0 THEN 'invalid compress message' WHEN ready IS NULL OR ready > seq THEN 'not initialized' WHEN seq % 13 = 0 THEN 'bad pixels' END AS error FROM m WHERE k <> 8)
+    SELECT session, seq, CASE WHEN error IS NOT NULL THEN 'error' WHEN k = 0 THEN 'ready' ELSE 'compressed' END AS type, CASE WHEN k <> 0 AND seq % 11 <> 0 THEN seq::VARCHAR END AS id, error FROM a""",
+)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

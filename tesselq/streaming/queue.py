@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tesselq.functions.bytes import adler_joined, adler_parts, bytes_of
 from tesselq.functions.labels import file_kind
+from tesselq.operators.jobs import states_passed
 from tesselq.operators.png import decode_png_or_error, encode_png
 from tesselq.plans.options import Options
 
@@ -15,7 +16,8 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length long, content bin
 
 
 def encode_folder(spark: SparkSession, folder: str, out: str, checkpoint: str, options: Options, files_per_batch: int = 16) -> StreamingQuery:
-    """Each PNG file that arrives in `folder` encoded anew as a row of the Parquet table `out`: path, status, error, sizes.
+    """Each PNG file that arrives in `folder` encoded anew as a row of the Parquet table `out`: path, status, error,
+    the states it went through, sizes.
 
     Files of other kinds, and broken ones, end in error. A batch is a partition of `out` by its number, so that one that
     runs again replaces itself. A batch takes at most files_per_batch files; all that have arrived are taken, then
@@ -29,7 +31,8 @@ def encode_folder(spark: SparkSession, folder: str, out: str, checkpoint: str, o
         done = encode_png(read.where("unread IS NULL"), options, "path")
         joined = files.drop("data").join(read.select("path", "unread"), "path", "left").join(done, "path", "left")
         error = F.coalesce("unread", "error", F.when(F.col("kind") != "png", F.concat(F.lit("cannot read kind "), "kind")))
-        joined.select("path", F.when(error.isNull(), "done").otherwise("error").alias("status"), error.alias("error"), "original_bytes", F.col("n_bytes").alias("compressed_bytes"), "data").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        states = states_passed(F.col("kind"), F.col("unread"), F.col("error"))
+        joined.select("path", F.element_at(states, -1).alias("status"), error.alias("error"), states.alias("states"), "original_bytes", F.col("n_bytes").alias("compressed_bytes"), "data").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
