@@ -39,6 +39,7 @@ def test_stream_of_files(spark, tmp_path):
     done = {r.path.rsplit("/", 1)[1]: decode_image(bytes(r.data))[3] for r in rows if r.status == "done"}
     assert done == want
     assert [r.error for r in rows if r.status == "error"] == ["cannot read kind unknown"]
+    assert {tuple(r.states) for r in rows} == {("pending", "decoding", "compressing", "done"), ("pending", "error")}
     encode_folder(*args).awaitTermination()  # nothing new
     assert spark.read.parquet(f"{tmp_path}/table").count() == len(rows)
 
